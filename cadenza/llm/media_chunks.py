@@ -31,12 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 8192, 11
 ALIGN = 64
-#: Bits of the filter of repeated digests: at least, at most. Beyond the most, more chunks go to the shared table; results stay the same.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 DIGEST = 32
 ENTRY = DIGEST + 4
 
@@ -111,27 +109,6 @@ def repeated_digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_emit_digests, "digest binary, key long").groupBy("digest", "key").count().where("count > 1").drop("count")
 
 
-def filter_of(repeated: DataFrame, n: int) -> np.ndarray:
-    """Bloom filter of ``n`` digests as 64-bit words; 12 bits for each, within the bounds; two places of each from its first 8 bytes."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (12 * n).bit_length()))
-    places = F.explode(F.array(F.col("key").bitwiseAND(bits - 1), F.shiftrightunsigned("key", 32).bitwiseAND(bits - 1)))
-    words = (
-        repeated.select(places.alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("at"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
-        .toArrow()
-    )
-    out = np.zeros(bits >> 6, np.int64)
-    out[words["at"].to_numpy()] = words["word"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _maybe_repeated(words: np.ndarray, digest: bytes) -> bool:
-    key = int.from_bytes(digest[:8], "big")
-    most = (len(words) << 6) - 1
-    return all(int(words[b >> 6]) >> (b & 63) & 1 for b in (key & most, (key >> 32) & most))
-
-
 def _emit_media(words: np.ndarray):
     """A row for each document: recipe, and the bytes of its chunks that occur once."""
 
@@ -143,7 +120,7 @@ def _emit_media(words: np.ndarray):
                 recipe, inline, shared = [], [], []
                 for d, part in _chunks(payload):
                     recipe.append(d + struct.pack("<I", len(part)))
-                    again = _maybe_repeated(words, d)
+                    again = bloom.may_have(words, _key(d))
                     (shared.append(d) if again else inline.append(part))
                 rows.append((doc_id, len(text), hashlib.sha256(payload).digest(), b"".join(recipe), b"".join(inline), list(dict.fromkeys(shared))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())))], ["doc_id", "n_bytes", "media_id", "recipe", "inline", "shared"])
@@ -156,7 +133,7 @@ def _emit_shared(words: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            found = {d: part for t in common.column(batch, "text") for d, part in _chunks(payload_of(t)) if _maybe_repeated(words, d)}
+            found = {d: part for t in common.column(batch, "text") for d, part in _chunks(payload_of(t)) if bloom.may_have(words, _key(d))}
             yield pa.record_batch({"digest": pa.array(found, pa.binary()), "bytes": pa.array(found.values(), pa.binary())})
 
     return run
@@ -165,7 +142,7 @@ def _emit_shared(words: np.ndarray):
 def write_store(docs: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(media, chunks) in the shared folder. ``docs``: doc_id, text (binary). ``store``: chunks (digest, bytes) that are there already; only new ones are written."""
     repeated = common.materialize(repeated_digests(docs), "repeated-digests")
-    words = filter_of(repeated, repeated.count())
+    words = bloom.build(repeated, F.col("key"), repeated.count())
     media = common.materialize(docs.mapInArrow(_emit_media(words), "doc_id long, n_bytes long, media_id binary, recipe binary, inline binary, shared array<binary>"), "media")
     found = docs.mapInArrow(_emit_shared(words), "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
     if store is not None:

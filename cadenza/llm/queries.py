@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media_chunks, sst, vocab
+from . import media_chunks, near_dups, sst, vocab
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op6_sst_shards(spark, sf_dir):
     return sst.write_and_read(table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_chunks, op6_sst_shards)}
+def op10_minhash_near_dups(spark, sf_dir):
+    return near_dups.cluster(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_chunks, op6_sst_shards, op10_minhash_near_dups)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries that a memo holds before it is emptied; bounds a worker's memory.
-MEMO = 600_000
+MEMO = 1_000_000
 
 
 def path(name: str) -> str:
@@ -44,40 +44,83 @@ class Memo(dict):
 class ByteLevelEncoder:
     """Token ids of whole texts, as the tokenizers library gives them, as little-endian bytes of ``dtype``.
 
-    The file's pre-tokenizer never joins a character with the space or line feed after it, so a text is the
-    sequence of its ``space? word`` parts and blank runs, and each distinct part is encoded by the library once.
-    Texts with other white space, or with a special token's string, go to the library whole.
+    The file's pre-tokenizer starts a new part at each single space or line feed, so a text without other
+    white space or runs of it is a sequence of words, each with the blank before it, and the library encodes
+    each distinct word once. A word of the memo has a space before it unless it starts with a line feed.
+    Texts with other white space, with runs, or with a special token's string go to the library whole.
     """
 
-    PARTS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+?(?= ?[^ \n])")
-    OTHER_BLANK = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-    BATCH = 256
+    #: White space other than space and line feed, and marks that libraries disagree about.
+    OTHER = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u200b\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200B)))
+    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    BATCH = 2000
 
     def __init__(self, file: str):
         self.tok = tokenizer(file)
         self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = (*self.OTHER, *(t.content for t in self.tok.get_added_tokens_decoder().values()))
         self.memo: dict[str, bytes] = {}
+        self.line = np.frombuffer(self.whole("\n"), self.dtype)[0]
+        self.stops = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        """Put ``words`` into the memo. Letters and a stop after them are two parts, so only the letters are encoded; many words go to the library as lines of a text."""
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+        memo, stopped, lines = self.memo, [], set()
+        for w in words:
+            if w[-1:] in self.stops and self.LATIN.fullmatch(w, 0, len(w) - 1):
+                stopped.append(w)
+                if w[:-1] not in memo:
+                    lines.add(w[:-1])
+            elif not w or w[0] == "\n":
+                memo[w] = self.whole(w or " ")
+            else:
+                lines.add(w)
+        some = list(lines)
+        for at in range(0, len(some), self.BATCH):
+            part = some[at : at + self.BATCH]
+            ids = np.array(self.tok.encode_batch_fast([" " + "\n ".join(part) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
+            data, start = ids.tobytes(), 0
+            width = self.dtype.itemsize
+            for word, end in zip(part, (np.flatnonzero(ids == self.line) * width).tolist(), strict=True):
+                memo[word] = data[start:end]
+                start = end + width
+        for w in stopped:
+            memo[w] = memo[w[:-1]] + self.stops[w[-1]]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """One result for each of ``texts``."""
-        parts = [None if self.OTHER_BLANK.search(t) or any(s in t for s in self.specials) else self.PARTS.findall(t) for t in texts]
-        seen = set()
-        for p in parts:
-            if p:
-                seen.update(p)
-        if len(self.memo) + len(seen) > MEMO:
-            self.memo.clear()
-        memo, lacking = self.memo, list(seen.difference(self.memo))
-        for at in range(0, len(lacking), self.BATCH):
-            some = lacking[at : at + self.BATCH]
-            for part, encoding in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                memo[part] = array(self.code, encoding.ids).tobytes()
-        return [self.whole(t) if p is None else b"".join(map(memo.__getitem__, p)) for t, p in zip(texts, parts)]
+        get, done, lacking = self.memo.get, [], set()
+        for t in texts:
+            if any(s in t for s in self.odd):
+                done.append((None, [self.whole(t)]))
+                continue
+            first, *words = t.replace("\n", " \n").split(" ")
+            got = list(map(get, words))
+            if None in got:
+                lacking.update([w for w, g in zip(words, got) if g is None])
+            else:
+                words = None
+            if first:
+                got.insert(0, self.whole(first))
+                words = words and [first, *words]
+            done.append((words, got))
+        if lacking:
+            self._learn(lacking)
+        memo = self.memo
+        out = []
+        for words, got in done:
+            if words:
+                for i, g in enumerate(got):
+                    if g is None:
+                        got[i] = memo[words[i]]
+            out.append(b"".join(got))
+        return out
 
 
 @lru_cache(maxsize=2)
