@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media_chunks, near_dups, sst, vocab
+from . import decontaminate, languages, media_chunks, near_dups, pieces, quality, sst, token_counts, vocab
 from .common import table
 
 
@@ -10,14 +10,46 @@ def op1_media_chunks(spark, sf_dir):
     return media_chunks.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op2_sentence_pieces(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), vocab.path("piece_bpe_32k.model"))
+
+
+def op4_prefix_token_counts(spark, sf_dir):
+    return token_counts.count(table(spark, sf_dir, "documents"), vocab.path("word_bpe_49k.json"))
+
+
 def op6_sst_shards(spark, sf_dir):
     return sst.write_and_read(table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_language_bitmasks(spark, sf_dir):
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_bayes(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_string_tiling(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dups(spark, sf_dir):
     return near_dups.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_chunks, op6_sst_shards, op10_minhash_near_dups)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_chunks,
+        op2_sentence_pieces,
+        op4_prefix_token_counts,
+        op6_sst_shards,
+        op7_language_bitmasks,
+        op8_quality_bayes,
+        op9_string_tiling,
+        op10_minhash_near_dups,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
