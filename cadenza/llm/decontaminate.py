@@ -25,6 +25,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,37 +106,57 @@ def tiles(runs: list[tuple[int, int, int]], n_item: int, least: int) -> list[tup
 OUT = "doc_id long, item_id long, n_item long, n_covered long, n_tiles long, coverage double, contaminated boolean"
 
 
+def indexes(benchmark: DataFrame, seed: int = SEED, block_chars: int = BLOCK_CHARS, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Index]:
+    """The benchmark's index, block by block."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("length(text) > 0")
+    total = items.select(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = -(-total // block_chars)
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks)))
+    for b in range(n_blocks):
+        yield Index([(r[0], r[1]) for r in items.where(block == b).orderBy("item_id", "text").toLocalIterator()], seed)
+
+
+def covering(index: Index, text: str | None, threshold: float) -> Iterator[tuple[int | None, int, int, int]]:
+    """(item_id, words, covered words, tiles) of the items that ``text`` covers enough of."""
+    for x, runs in index.runs(hashes(text)).items():
+        item_id, words = index.items[x]
+        n = len(words)
+        if sum(r[0] for r in runs) >= threshold * n:
+            laid = tiles(runs, n, min(index.seed, n))
+            covered = sum(t[0] for t in laid)
+            if covered >= threshold * n:
+                yield item_id, n, covered, len(laid)
+
+
 def _emit(index: Index, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            rows = []
-            for doc_id, text in zip(common.column(batch, "doc_id"), common.column(batch, "text")):
-                for x, runs in index.runs(hashes(text)).items():
-                    item_id, words = index.items[x]
-                    n = len(words)
-                    if sum(r[0] for r in runs) < threshold * n:
-                        continue
-                    laid = tiles(runs, n, min(index.seed, n))
-                    covered = sum(t[0] for t in laid)
-                    if covered >= threshold * n:
-                        rows.append((doc_id, item_id, n, covered, len(laid), covered / n, True))
-            cols = list(zip(*rows)) or [()] * 7
+            rows = [(d, i, n, c, k, c / n, True) for d, t in zip(common.column(batch, "doc_id"), common.column(batch, "text")) for i, n, c, k in covering(index, t, threshold)]
             types = (pa.int64(),) * 5 + (pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "n_item", "n_covered", "n_tiles", "coverage", "contaminated"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], ["doc_id", "item_id", "n_item", "n_covered", "n_tiles", "coverage", "contaminated"])
 
     return run
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item with a coverage of at least ``threshold``."""
-    docs = common.id_text(docs, id_col=id_col, text_col=text_col)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("length(text) > 0")
-    total = items.select(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_chars)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks)))
-    found = None
-    for b in range(n_blocks):
-        index = Index([(r[0], r[1]) for r in items.where(block == b).orderBy("item_id", "text").toLocalIterator()], seed)
+    docs, found = common.id_text(docs, id_col=id_col, text_col=text_col), None
+    for index in indexes(benchmark, seed, block_chars, item_col, item_text_col):
         part = docs.mapInArrow(_emit(index, threshold), OUT)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], OUT) if found is None else found
+
+
+def _contaminated(index: Index, threshold: float):
+    @F.pandas_udf("boolean")
+    def contaminated(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(covering(index, t, threshold), None) is not None for t in texts], dtype=bool)
+
+    return contaminated
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns; a filter for each block of the benchmark."""
+    for index in indexes(benchmark, seed, block_chars, item_col, item_text_col):
+        docs = docs.where(~_contaminated(index, threshold)(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs

@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,14 +137,42 @@ def site_rates(scored: DataFrame) -> tuple[DataFrame, float]:
     return paths.select("host", "path", "n", "host_rate", F.least(F.greatest(shrunk, F.lit(1e-6)), F.lit(1 - 1e-6)).alias("path_rate")), rate
 
 
-def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, host, path, evidence (log-odds), path_rate, posterior, kept of each row."""
-    names = [F.coalesce(F.col(c), F.lit("")).alias(to) for c, to in ((host_col, "host"), (path_col, "path"))]
-    rows = common.id_text(docs, *names, id_col=id_col, text_col=text_col)
+def _rows(docs: DataFrame, host_col: str, path_col: str, id_col: str, text_col: str) -> DataFrame:
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(to) for c, to in ((host_col, "host"), (path_col, "path"))]
+    return common.id_text(docs, *names, id_col=id_col, text_col=text_col)
+
+
+def _learned(docs: DataFrame, labels: DataFrame, sample: int, *cols: str) -> tuple[Evidence, DataFrame, DataFrame, float]:
+    """(evidence, scored rows, sites, global log-odds)."""
+    rows = _rows(docs, *cols)
     own = learn(rows, labels, sample)
     scored = common.materialize(rows.mapInArrow(_emit_evidence(own), "doc_id long, host string, path string, evidence double"), "evidence")
     sites, rate = site_rates(scored)
     sites = common.bounded_broadcast(common.materialize(sites.select("host", "path", "path_rate"), "sites"), SITES)
-    odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(rate / (1 - rate)))
-    out = scored.join(sites, ["host", "path"], "left").withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    return own, scored, sites, float(np.log(rate / (1 - rate)))
+
+
+def _posterior(evidence, path_rate, global_odds: float):
+    return 1 / (1 + F.exp(-(evidence + F.log(path_rate / (1 - path_rate)) - global_odds)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, host, path, evidence (log-odds), path_rate, posterior, kept of each row."""
+    _, scored, sites, odds = _learned(docs, labels, sample, host_col, path_col, id_col, text_col)
+    out = scored.join(sites, ["host", "path"], "left").withColumn("posterior", _posterior(F.col("evidence"), F.col("path_rate"), odds))
     return out.select("doc_id", "host", "path", "evidence", "path_rate", "posterior", (F.col("posterior") >= threshold).alias("kept"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns. Texts are scored again where they lie, as a join would move them."""
+    own, _, sites, odds = _learned(docs, labels, sample, host_col, path_col, id_col, text_col)
+
+    @F.pandas_udf("double")
+    def evidence(texts: pd.Series) -> pd.Series:
+        return pd.Series([own.of(t) for t in texts], dtype=float)
+
+    sites = sites.toDF("__host", "__path", "__rate")
+    site = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host_col, path_col)]
+    scored = docs.withColumn("__evidence", evidence(F.coalesce(F.col(text_col), F.lit(""))))
+    found = scored.join(sites, (site[0] == sites["__host"]) & (site[1] == sites["__path"]), "left")
+    return found.where(_posterior(F.col("__evidence"), F.col("__rate"), odds) >= threshold).select(*[docs[c] for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, languages, media_chunks, near_dups, pieces, quality, sst, token_counts, vocab
+from . import chat, decontaminate, languages, media_chunks, near_dups, pieces, pii, quality, sst, token_counts, vocab
 from .common import table
 
 
@@ -14,10 +14,21 @@ def op2_sentence_pieces(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"), vocab.path("piece_bpe_32k.model"))
 
 
+def op3_skip_chain_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_prefix_token_counts(spark, sf_dir):
     return token_counts.count(table(spark, sf_dir, "documents"), vocab.path("word_bpe_49k.json"))
 
 
+def op5_budgeted_chat(spark, sf_dir):
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.windows(turns, vocab.path("word_bpe_49k.json")))
+
+
 def op6_sst_shards(spark, sf_dir):
     return sst.write_and_read(table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"), end_id=2)
 
@@ -43,7 +54,9 @@ QUERIES = {
     for f in (
         op1_media_chunks,
         op2_sentence_pieces,
+        op3_skip_chain_pii,
         op4_prefix_token_counts,
+        op5_budgeted_chat,
         op6_sst_shards,
         op7_language_bitmasks,
         op8_quality_bayes,
