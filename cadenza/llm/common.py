@@ -58,15 +58,15 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into slices of at most SLICE_ROWS rows and about SLICE_BYTES bytes of ``column``."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of at most SLICE_ROWS rows and about ``most`` bytes of ``column``."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         n, at = batch.num_rows, 0
         sizes = pc.binary_length(texts).fill_null(0).to_pylist() if n else []
         while at < n:
             end, held = at, 0
-            while end < n and end - at < SLICE_ROWS and (end == at or held + sizes[end] <= SLICE_BYTES):
+            while end < n and end - at < SLICE_ROWS and (end == at or held + sizes[end] <= most):
                 held += sizes[end]
                 end += 1
             yield batch.slice(at, end - at)

@@ -224,7 +224,7 @@ def _write_shard(folder: str, file: str, end_id: int):
         shard, writer = TaskContext.get().partitionId(), None
         encoder, files, path = vocab.byte_level(file), None, f"{folder}/{shard:08d}.sst"
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, most=1 << 20):
             if writer is None:
                 files, root = _files(folder)
                 files.create_dir(root, recursive=True)
@@ -252,7 +252,7 @@ def write_shards(docs: DataFrame, folder: str, file: str, end_id: int, n_shards:
         n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     tie = F.xxhash64("text")
     dealt = docs.withColumn("tie", tie).repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first(), "tie")
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", "text")
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = sorted(map(tuple, dealt.mapInArrow(_write_shard(folder, file, end_id), MANIFEST).collect()))
     starts = np.cumsum([0] + [r[3] for r in rows])[:-1].tolist()
     return spark.createDataFrame([(*r, s) for r, s in zip(rows, starts)], f"{MANIFEST}, start long")

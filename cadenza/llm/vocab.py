@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import wordhash
+
 #: Entries that a memo holds before it is emptied; bounds a worker's memory.
 MEMO = 1_000_000
 
@@ -42,84 +44,107 @@ class Memo(dict):
 
 
 class ByteLevelEncoder:
-    """Token ids of whole texts, as the tokenizers library gives them, as little-endian bytes of ``dtype``.
+    """Token ids of whole texts, as the tokenizers library gives them.
 
-    The file's pre-tokenizer starts a new part at each single space or line feed, so a text without other
-    white space or runs of it is a sequence of words, each with the blank before it, and the library encodes
-    each distinct word once. A word of the memo has a space before it unless it starts with a line feed.
-    Texts with other white space, with runs, or with a special token's string go to the library whole.
+    The file's pre-tokenizer starts a new part at each single space or line feed, so a text without other white
+    space or runs of it is a sequence of words, each with the blank before it. All words of a slice of texts are hashed
+    by array operations; the library encodes each distinct word once and the ids are gathered from a table.
+    Texts with other white space, with runs, with words over LONG bytes or with a special token's string go to
+    the library whole.
     """
 
-    #: White space other than space and line feed, and marks that libraries disagree about.
-    OTHER = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u200b\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200B)))
-    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    #: Words that the table holds before it is emptied (about 30 bytes each).
+    WORDS = 4_000_000
+    LONG = 256
     BATCH = 2000
+    _PLAIN = np.array([b in (9, 11, 12, 13, 28, 29, 30, 31) for b in range(256)])
+    #: Bytes that start white space, or marks that libraries disagree about, with what may come after them.
+    _LEADS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
 
     def __init__(self, file: str):
         self.tok = tokenizer(file)
         self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.odd = (*self.OTHER, *(t.content for t in self.tok.get_added_tokens_decoder().values()))
-        self.memo: dict[str, bytes] = {}
-        self.line = np.frombuffer(self.whole("\n"), self.dtype)[0]
-        self.stops = {c: self.whole(c) for c in ".,"}
+        self.special = any(True for _ in self.tok.get_added_tokens_decoder())
+        assert all(t.content.startswith("<|") for t in self.tok.get_added_tokens_decoder().values())
+        self.line = int(np.frombuffer(self.whole("\n"), self.dtype)[0])
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.n = np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, self.dtype)
+        self.used = 0
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Put ``words`` into the memo. Letters and a stop after them are two parts, so only the letters are encoded; many words go to the library as lines of a text."""
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        memo, stopped, lines = self.memo, [], set()
-        for w in words:
-            if w[-1:] in self.stops and self.LATIN.fullmatch(w, 0, len(w) - 1):
-                stopped.append(w)
-                if w[:-1] not in memo:
-                    lines.add(w[:-1])
-            elif not w or w[0] == "\n":
-                memo[w] = self.whole(w or " ")
-            else:
-                lines.add(w)
-        some = list(lines)
-        for at in range(0, len(some), self.BATCH):
-            part = some[at : at + self.BATCH]
-            ids = np.array(self.tok.encode_batch_fast([" " + "\n ".join(part) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
-            data, start = ids.tobytes(), 0
-            width = self.dtype.itemsize
-            for word, end in zip(part, (np.flatnonzero(ids == self.line) * width).tolist(), strict=True):
-                memo[word] = data[start:end]
-                start = end + width
-        for w in stopped:
-            memo[w] = memo[w[:-1]] + self.stops[w[-1]]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """One result for each of ``texts``."""
-        get, done, lacking = self.memo.get, [], set()
-        for t in texts:
-            if any(s in t for s in self.odd):
-                done.append((None, [self.whole(t)]))
-                continue
-            first, *words = t.replace("\n", " \n").split(" ")
-            got = list(map(get, words))
-            if None in got:
-                lacking.update([w for w, g in zip(words, got) if g is None])
-            else:
-                words = None
-            if first:
-                got.insert(0, self.whole(first))
-                words = words and [first, *words]
-            done.append((words, got))
-        if lacking:
-            self._learn(lacking)
-        memo = self.memo
-        out = []
-        for words, got in done:
-            if words:
-                for i, g in enumerate(got):
-                    if g is None:
-                        got[i] = memo[words[i]]
-            out.append(b"".join(got))
+    def _odd(self, b: np.ndarray, blank: np.ndarray) -> np.ndarray:
+        """Places at which a text isn't a plain sequence of words."""
+        found = [np.flatnonzero(self._PLAIN[b]), np.flatnonzero(blank[1:] & blank[:-1])]
+        for lead, after in (*self._LEADS, *([(ord("<"), (ord("|"),))] if self.special else [])):
+            at = np.flatnonzero(b[:-1] == lead)
+            found.append(at[np.isin(b[at + 1], after)])
+        return np.concatenate(found)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        if len(self.keys) + len(words) > self.WORDS:
+            self._empty()
+        ids: list[np.ndarray] = [None] * len(words)
+        spaced = [k for k, w in enumerate(words) if w[0] == " " and len(w) > 1]
+        for at in range(0, len(spaced), self.BATCH):  # many words are lines of one text
+            some = spaced[at : at + self.BATCH]
+            found = np.array(self.tok.encode_batch_fast(["\n".join([words[k] for k in some]) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
+            for k, own in zip(some, np.split(found, np.flatnonzero(found == self.line) + 1), strict=False):
+                ids[k] = own[:-1]
+        rest = [k for k, own in enumerate(ids) if own is None]
+        for k, e in zip(rest, self.tok.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+            ids[k] = np.array(e.ids, self.dtype)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(n.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(n) - n)
+        self.n = np.insert(self.n, where, n)
+        self.used += total
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each of ``texts`` (UTF-8), as little-endian bytes of ``dtype``."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        if not len(ends) or not ends[-1]:
+            return [b""] * len(texts)
+        data = b"".join(texts)
+        b = np.frombuffer(data, np.uint8)
+        blank = (b == 32) | (b == 10)
+        new = blank.copy()
+        new[(ends - sizes)[sizes > 0]] = True
+        start = np.flatnonzero(new)
+        end = np.r_[start[1:], len(b)]
+        odd = np.concatenate([self._odd(b, blank), start[end - start > self.LONG]])
+        whole = set(np.searchsorted(ends, odd, "right").tolist())
+        keys, first, place = np.unique(wordhash.spans(b, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        lacking = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(lacking):
+            if len(self.keys) + len(lacking) > self.WORDS:
+                self._empty()
+                lacking = np.arange(len(keys))
+            self._learn(keys[lacking], [data[x:y].decode() for x, y in zip(start[first[lacking]].tolist(), end[first[lacking]].tolist())])
+            at = np.searchsorted(self.keys, keys)
+        entry = at[place]
+        n = self.n[entry]
+        until = np.cumsum(n)
+        ids = self.flat[np.repeat(self.at[entry] - until + n, n) + np.arange(until[-1])]
+        stops = np.r_[0, until][np.searchsorted(start, ends)].tolist()
+        out, before = [], 0
+        for k, stop in enumerate(stops):
+            out.append(self.whole(texts[k].decode()) if k in whole else ids[before:stop].tobytes())
+            before = stop
         return out
 
 

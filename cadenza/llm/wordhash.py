@@ -50,6 +50,11 @@ def words(data: bytes, blank: np.ndarray = BLANK) -> np.ndarray:
     inside[1:-1] = ~blank[b]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
+    return spans(b, starts, ends)
+
+
+def spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of the bytes ``b``."""
     up, down = _powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(BYTES[b] * up[: len(b)], out=total[1:])
