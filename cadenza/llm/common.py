@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -77,6 +78,36 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def keep_rows(docs: DataFrame, text_col: str, test) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text (null: empty) passes ``test``; a slice of rows is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array([bool(test(t or "")) for t in column(part, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def map_texts(docs: DataFrame, text_col: str, change, to: str | None = None, kind: str = "string") -> DataFrame:
+    """``docs`` with ``change`` of each text in its place (null stays null), or in a further column ``to`` of type ``kind`` (null: of the empty text)."""
+    schema = T.StructType(docs.schema.fields)
+    if to:
+        schema = schema.add(to, kind)
+    made = pa.float64() if kind == "double" else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            texts = column(part, text_col)
+            if to:
+                new = pa.array([change(t or "") for t in texts], made)
+                yield pa.RecordBatch.from_arrays([*part.columns, new], [*part.schema.names, to])
+            else:
+                at = part.schema.get_field_index(text_col)
+                yield part.set_column(at, text_col, pa.array([None if t is None else change(t) for t in texts], pa.string()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

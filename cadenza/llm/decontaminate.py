@@ -25,7 +25,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,16 +146,12 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, se
     return docs.sparkSession.createDataFrame([], OUT) if found is None else found
 
 
-def _contaminated(index: Index, threshold: float):
-    @F.pandas_udf("boolean")
-    def contaminated(texts: pd.Series) -> pd.Series:
-        return pd.Series([next(covering(index, t, threshold), None) is not None for t in texts], dtype=bool)
-
-    return contaminated
+def _clean(index: Index, threshold: float):
+    return lambda text: next(covering(index, text, threshold), None) is None
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all their columns; a filter for each block of the benchmark."""
+    """The rows of ``docs`` that no item contaminates, with all their columns; a pass for each block of the benchmark."""
     for index in indexes(benchmark, seed, block_chars, item_col, item_text_col):
-        docs = docs.where(~_contaminated(index, threshold)(F.coalesce(F.col(text_col), F.lit(""))))
+        docs = common.keep_rows(docs, text_col, _clean(index, threshold))
     return docs

@@ -26,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -315,8 +314,4 @@ def redact(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_c
     """``docs`` with the spans of its texts replaced; all columns stay, nulls stay null."""
     own = learn(common.id_text(docs, id_col=id_col, text_col=text_col), sample)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redacted(t, own.spans(t)[1]) for t in texts], dtype=object)
-
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return common.map_texts(docs, text_col, lambda t: redacted(t, own.spans(t)[1]))

@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,12 +166,8 @@ def keep(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns. Texts are scored again where they lie, as a join would move them."""
     own, _, sites, odds = _learned(docs, labels, sample, host_col, path_col, id_col, text_col)
 
-    @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series([own.of(t) for t in texts], dtype=float)
-
     sites = sites.toDF("__host", "__path", "__rate")
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host_col, path_col)]
-    scored = docs.withColumn("__evidence", evidence(F.coalesce(F.col(text_col), F.lit(""))))
+    scored = common.map_texts(docs, text_col, own.of, "__evidence", "double")
     found = scored.join(sites, (site[0] == sites["__host"]) & (site[1] == sites["__path"]), "left")
-    return found.where(_posterior(F.col("__evidence"), F.col("__rate"), odds) >= threshold).select(*[docs[c] for c in docs.columns])
+    return found.where(_posterior(F.col("__evidence"), F.col("__rate"), odds) >= threshold).select(*[scored[c] for c in docs.columns])
