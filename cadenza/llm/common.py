@@ -90,7 +90,7 @@ def keep_rows(docs: DataFrame, text_col: str, test) -> DataFrame:
 
 def map_texts(docs: DataFrame, text_col: str, change, to: str | None = None, kind: str = "string") -> DataFrame:
     """``docs`` with ``change`` of each text in its place (null stays null), or in a further column ``to`` of type ``kind`` (null: of the empty text)."""
-    schema = T.StructType(docs.schema.fields)
+    schema = T.StructType(list(docs.schema.fields))
     if to:
         schema = schema.add(to, kind)
     made = pa.float64() if kind == "double" else pa.string()
