@@ -7,7 +7,7 @@ greatest sum of piece scores, as SentencePiece's unigram engine defines it. The
 BPE: its pieces and scores are used, its merge order isn't (see the README).
 
 No piece has a space mark after another character, and no piece has a line feed, so a text parts into words there
-without changing the result; each distinct word goes through the automaton once and is then remembered.
+without changing the result; each distinct word goes through the automaton once and its ids are kept in a table of bounded size.
 
 Encoding puts a space mark before a non-empty text and for each space; decoding turns marks into spaces and drops the
 first. A text is given back exactly unless it has the mark U+2581 itself, which comes back as a space.
@@ -19,9 +19,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -75,7 +73,7 @@ def read_pieces(file: str) -> list[tuple[str, float, int]]:
     return out
 
 
-class Model:
+class Model(vocab.SpanEncoder):
     def __init__(self, pieces: list[tuple[str, float, int]]):
         import ahocorasick
 
@@ -90,10 +88,7 @@ class Model:
         if usable:
             self.automaton.make_automaton()
         self.parts_words = not any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in usable)
-        self.code = "H" if len(pieces) <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.bare = vocab.Memo(lambda w: array(self.code, self.viterbi(w)).tobytes(), vocab.MEMO // 4)
-        self.word = vocab.Memo(self._marked, vocab.MEMO // 2)
+        super().__init__(np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4"))
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in pieces]
 
     def viterbi(self, text: str) -> list[int]:
@@ -134,24 +129,19 @@ class Model:
             at -= size
         return out[::-1]
 
-    def _marked(self, word: str) -> bytes:
-        """Ids of a word after its space mark."""
-        first, *lines = word.split("\n")
-        out = [self.bare[MARK + first]]
-        for line in lines:
-            out += [self.bare["\n"], self.bare[line]] if line else [self.bare["\n"]]
-        return b"".join(out)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.viterbi(MARK + text.replace(" ", MARK)) if text else [], self.dtype).tobytes()
+
+    def learn(self, words: list[str]) -> list[np.ndarray]:
+        """A word starts with its space, with a line feed, or, at the start of a text, with neither: the text's own mark comes before it."""
+        return [np.array(self.viterbi(w if w[0] == "\n" else MARK + w.removeprefix(" ")), self.dtype) for w in words]
+
+    def odd(self, b: np.ndarray, blank: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """A blank at the start would stand beside the text's own mark; the mark itself may be in a text."""
+        return [starts[blank[starts]], vocab.pairs(b, 0xE2, (0x96,)), *([] if self.parts_words else [starts])]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.dtype)
-        if not self.parts_words or MARK in text:
-            return np.array(self.viterbi(MARK + text.replace(" ", MARK)), self.dtype)
-        words = text.split(" ")
-        if "" in words:
-            marked = (MARK + text.replace(" ", MARK))
-            return np.frombuffer(b"".join(map(self.bare.__getitem__, re.findall(f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n", marked))), self.dtype)
-        return np.frombuffer(b"".join(map(self.word.__getitem__, words)), self.dtype)
+        return np.frombuffer(self.encode_all([text.encode()])[0], self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -163,17 +153,18 @@ def model(file: str) -> Model:
     return Model(read_pieces(file))
 
 
-def _emit_ids(file: str, keep: bool):
+def _emit_ids(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(file)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, most=1 << 20):
             ids, sizes, digests, exact = [], [], [], []
-            for text in common.column(batch, "text"):
-                found = own.encode(text)
-                back = own.decode(found)
+            texts = common.column(batch, "text")
+            for text, found in zip(texts, own.encode_all(texts)):
+                found = np.frombuffer(found, own.dtype)
+                back = own.decode(found).encode()
                 ids.append(found)
                 sizes.append(len(found))
-                digests.append(hashlib.sha256(back.encode()).hexdigest())
+                digests.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == text)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
@@ -186,7 +177,7 @@ def _emit_ids(file: str, keep: bool):
 
 def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, n_pieces, decoded_sha256 (of the text decoded from the ids), exact (whether it is the text)."""
-    return common.id_text(docs, id_col=id_col, text_col=text_col).mapInArrow(_emit_ids(file, True), "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string, exact boolean")
+    return common.id_bytes(docs, id_col=id_col, text_col=text_col).mapInArrow(_emit_ids(file), "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string, exact boolean")
 
 
 def _emit_texts(file: str):

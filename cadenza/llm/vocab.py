@@ -43,33 +43,34 @@ class Memo(dict):
         return value
 
 
-class ByteLevelEncoder:
-    """Token ids of whole texts, as the tokenizers library gives them.
-
-    The file's pre-tokenizer starts a new part at each single space or line feed, so a text without other white
-    space or runs of it is a sequence of words, each with the blank before it. All words of a slice of texts are hashed
-    by array operations; the library encodes each distinct word once and the ids are gathered from a table.
-    Texts with other white space, with runs, with words over LONG bytes or with a special token's string go to
-    the library whole.
+class SpanEncoder:
+    """Ids of whole texts, from the ids of their words, for vocabularies whose ids never reach over a blank.
+
+    A word is what starts at a text's start or at a space or line feed, with that blank. All words of a slice of texts
+    are hashed by array operations; each distinct word is encoded once, and ids are gathered from a table. Texts with
+    runs of blanks, with words over LONG bytes, or with what ``odd`` finds are encoded whole.
     """
 
     #: Words that the table holds before it is emptied (about 30 bytes each).
-    WORDS = 4_000_000
+    WORDS = 2_000_000
     LONG = 256
-    BATCH = 2000
-    _PLAIN = np.array([b in (9, 11, 12, 13, 28, 29, 30, 31) for b in range(256)])
-    #: Bytes that start white space, or marks that libraries disagree about, with what may come after them.
-    _LEADS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
 
-    def __init__(self, file: str):
-        self.tok = tokenizer(file)
-        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.special = any(True for _ in self.tok.get_added_tokens_decoder())
-        assert all(t.content.startswith("<|") for t in self.tok.get_added_tokens_decoder().values())
-        self.line = int(np.frombuffer(self.whole("\n"), self.dtype)[0])
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
         self._empty()
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text, little-endian."""
+        raise NotImplementedError
+
+    def learn(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word."""
+        raise NotImplementedError
+
+    def odd(self, b: np.ndarray, blank: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """Places of bytes whose texts must be encoded whole; ``starts``: of the texts."""
+        return []
+
     def _empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -77,30 +78,8 @@ class ByteLevelEncoder:
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
-    def whole(self, text: str) -> bytes:
-        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _odd(self, b: np.ndarray, blank: np.ndarray) -> np.ndarray:
-        """Places at which a text isn't a plain sequence of words."""
-        found = [np.flatnonzero(self._PLAIN[b]), np.flatnonzero(blank[1:] & blank[:-1])]
-        for lead, after in (*self._LEADS, *([(ord("<"), (ord("|"),))] if self.special else [])):
-            at = np.flatnonzero(b[:-1] == lead)
-            found.append(at[np.isin(b[at + 1], after)])
-        return np.concatenate(found)
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(words) > self.WORDS:
-            self._empty()
-        ids: list[np.ndarray] = [None] * len(words)
-        spaced = [k for k, w in enumerate(words) if w[0] == " " and len(w) > 1]
-        for at in range(0, len(spaced), self.BATCH):  # many words are lines of one text
-            some = spaced[at : at + self.BATCH]
-            found = np.array(self.tok.encode_batch_fast(["\n".join([words[k] for k in some]) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
-            for k, own in zip(some, np.split(found, np.flatnonzero(found == self.line) + 1), strict=False):
-                ids[k] = own[:-1]
-        rest = [k for k, own in enumerate(ids) if own is None]
-        for k, e in zip(rest, self.tok.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-            ids[k] = np.array(e.ids, self.dtype)
+    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = self.learn(words)
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(n.sum())
         while self.used + total > len(self.flat):
@@ -125,7 +104,7 @@ class ByteLevelEncoder:
         new[(ends - sizes)[sizes > 0]] = True
         start = np.flatnonzero(new)
         end = np.r_[start[1:], len(b)]
-        odd = np.concatenate([self._odd(b, blank), start[end - start > self.LONG]])
+        odd = np.concatenate([np.flatnonzero(blank[1:] & blank[:-1]), start[end - start > self.LONG], *self.odd(b, blank, (ends - sizes)[sizes > 0])])
         whole = set(np.searchsorted(ends, odd, "right").tolist())
         keys, first, place = np.unique(wordhash.spans(b, start, end), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
@@ -134,7 +113,7 @@ class ByteLevelEncoder:
             if len(self.keys) + len(lacking) > self.WORDS:
                 self._empty()
                 lacking = np.arange(len(keys))
-            self._learn(keys[lacking], [data[x:y].decode() for x, y in zip(start[first[lacking]].tolist(), end[first[lacking]].tolist())])
+            self._add(keys[lacking], [data[x:y].decode() for x, y in zip(start[first[lacking]].tolist(), end[first[lacking]].tolist())])
             at = np.searchsorted(self.keys, keys)
         entry = at[place]
         n = self.n[entry]
@@ -148,6 +127,52 @@ class ByteLevelEncoder:
         return out
 
 
+def pairs(b: np.ndarray, lead: int, after: tuple[int, ...]) -> np.ndarray:
+    """Places of the byte ``lead`` with one of ``after`` behind it."""
+    at = np.flatnonzero(b[:-1] == lead)
+    return at[np.isin(b[at + 1], after)]
+
+
+class ByteLevelEncoder(SpanEncoder):
+    """Token ids as the tokenizers library gives them.
+
+    The file's pre-tokenizer starts a new part at each single space or line feed. Texts with other white space or with
+    a special token's string go to the library whole.
+    """
+
+    BATCH = 2000
+    _PLAIN = np.array([b in (9, 11, 12, 13, 28, 29, 30, 31) for b in range(256)])
+    #: Bytes that start white space, or marks that libraries disagree about, with what may come after them.
+    _LEADS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
+
+    def __init__(self, file: str):
+        self.tok = tokenizer(file)
+        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
+        super().__init__(np.dtype("<u2" if self.code == "H" else "<u4"))
+        specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.leads = (*self._LEADS, *((s.encode()[0], (s.encode()[1],)) for s in specials))
+        self.line = int(np.frombuffer(self.whole("\n"), self.dtype)[0])
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def odd(self, b: np.ndarray, blank: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        return [np.flatnonzero(self._PLAIN[b]), *(pairs(b, *lead) for lead in self.leads)]
+
+    def learn(self, words: list[str]) -> list[np.ndarray]:
+        ids: list[np.ndarray] = [None] * len(words)
+        spaced = [k for k, w in enumerate(words) if w[0] == " " and len(w) > 1]
+        for at in range(0, len(spaced), self.BATCH):  # many words are lines of one text
+            some = spaced[at : at + self.BATCH]
+            found = np.array(self.tok.encode_batch_fast(["\n".join([words[k] for k in some]) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
+            for k, own in zip(some, np.split(found, np.flatnonzero(found == self.line) + 1), strict=False):
+                ids[k] = own[:-1]
+        rest = [k for k, own in enumerate(ids) if own is None]
+        for k, e in zip(rest, self.tok.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+            ids[k] = np.array(e.ids, self.dtype)
+        return ids
+
+
 @lru_cache(maxsize=2)
 def byte_level(file: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(file)
