@@ -156,7 +156,7 @@ def model(file: str) -> Model:
 def _emit_ids(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(file)
-        for batch in common.slices(batches, most=1 << 20):
+        for batch in common.slices(batches, most=1 << 19):
             ids, sizes, digests, exact = [], [], [], []
             texts = common.column(batch, "text")
             for text, found in zip(texts, own.encode_all(texts)):

@@ -224,7 +224,7 @@ def _write_shard(folder: str, file: str, end_id: int):
         shard, writer = TaskContext.get().partitionId(), None
         encoder, files, path = vocab.byte_level(file), None, f"{folder}/{shard:08d}.sst"
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in common.slices(batches, most=1 << 20):
+        for batch in common.slices(batches, most=1 << 19):
             if writer is None:
                 files, root = _files(folder)
                 files.create_dir(root, recursive=True)
