@@ -118,13 +118,16 @@ WINDOW = "conv_id long, block long, window long, text string, loss array<struct<
 
 def _emit_windows(file: str, budget: int, history: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, now, own, n, rows = token_counts.counter(file), None, None, 0, []
+        counter, now, own, n, rows, starts = token_counts.counter(file), None, None, 0, [], False
         for batch in common.slices(batches):
             for conv, block, kind, role, text in zip(*(common.column(batch, c) for c in ("conv_id", "block", "kind", "role", "text"))):
                 if now != (conv, block):
                     if own and own.fresh:
                         rows.append((*now, n, *own.close()))
-                    now, own, n = (conv, block), _Windows(budget, history), 0
+                    now, own, n, starts = (conv, block), _Windows(budget, history), 0, False
+                if kind == -1:  # the block's first turn is the conversation's system turn
+                    starts = True
+                    continue
                 whole, head = written(role, text)
                 counts = counter.profile(whole)[2]
                 turn = whole, head, int(counts[-1])
@@ -136,8 +139,8 @@ def _emit_windows(file: str, budget: int, history: int):
                     for made in own.add(turn, role == "assistant"):
                         rows.append((*now, n, *made))
                         n += 1
-                    if kind == 3:  # the conversation's own system turn: repeated later, but no history
-                        own.system = turn
+                    if starts:  # repeated from now on, but no history
+                        own.system, starts = turn, False
                         own.tail.pop()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WINDOW)], schema=_WINDOW)
@@ -157,7 +160,8 @@ def windows(turns: DataFrame, file: str, budget: int = BUDGET, history: int = HI
     system = first.where("f.role = 'system'").select("conv_id", "f.turn", "f.role", "f.text", "first")
     blocks = turns.select("conv_id", "block").distinct()
     same = blocks["conv_id"].eqNullSafe(system["conv_id"])
-    heads = blocks.join(system, same & (blocks["block"] != system["first"])).select(blocks["conv_id"], blocks["block"], F.lit(0).alias("kind"), "turn", "role", "text")
+    kind = F.when(blocks["block"] == system["first"], -1).otherwise(0)
+    heads = blocks.join(system, same).select(blocks["conv_id"], blocks["block"], kind.alias("kind"), "turn", "role", "text")
     late = F.pmod(F.col("turn"), F.lit(BLOCK)) >= BLOCK - HISTORY_TURNS
     past = turns.where(late).select("conv_id", (F.col("block") + 1).alias("block"), F.lit(1).alias("kind"), "turn", "role", "text")
     own = turns.select("conv_id", "block", F.lit(2).alias("kind"), "turn", "role", "text")
