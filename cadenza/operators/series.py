@@ -196,12 +196,13 @@ def quiet(v: Column, window: int, most: float) -> Column:
     return (F.count(v).over(w) == window) & (F.max(v).over(w) - F.min(v).over(w) <= most)
 
 
-def terminal_rest(rows: DataFrame, most: float, fps: float, seconds: float = 1.5) -> DataFrame:
-    """Per episode: where the final stretch within ``most`` starts, and the last floor(seconds * fps) frames of it."""
+def terminal_rest(rows: DataFrame, most: float, fps: float, seconds: float = 1.5, after: int = 0) -> DataFrame:
+    """Per episode: where the final stretch within ``most`` starts (not before ``after``), and what follows its first floor(seconds * fps) frames."""
     back = EP().orderBy(F.col("f").desc()).rowsBetween(Window.unboundedPreceding, 0)
     marked = rows.withColumn("_r", F.max("v").over(back) - F.min("v").over(back))
-    out = marked.groupBy("ep").agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("_r") > most, F.col("f"))) + 1, F.lit(0)).alias("start"))
-    return out.select("ep", "start", F.greatest("start", F.col("n") - int(seconds * fps)).alias("mask_start"), F.col("n").alias("end"))
+    start = F.greatest(F.coalesce(F.max(F.when(F.col("_r") > most, F.col("f"))) + 1, F.lit(0)), F.lit(after)).cast("long")
+    out = marked.groupBy("ep").agg(F.count("*").alias("n"), start.alias("start"))
+    return out.select("ep", "start", F.least(F.col("start") + int(seconds * fps), F.col("n")).alias("mask_start"), F.col("n").alias("end"))
 
 
 def sustained_retreat(rows: DataFrame, window: int, least: float, bounds: DataFrame | None = None) -> DataFrame:

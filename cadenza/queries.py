@@ -288,7 +288,7 @@ def clock_idle_mask(spark, d):
     return clocks.idle_mask(_plateaus(spark, d)).select("ep", "f", "idle")
 
 
-@query(f"WITH {S}, t AS (SELECT ep, f, max(v) OVER w - min(v) OVER w AS r FROM s WINDOW w AS (PARTITION BY ep ORDER BY f DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), g AS (SELECT ep, count(*) AS n, coalesce(max(CASE WHEN r > 60 THEN f END) + 1, 0) AS start FROM t GROUP BY ep) SELECT ep, start, greatest(start, n - 3) AS mask_start, n AS \"end\" FROM g")
+@query(f"WITH {S}, t AS (SELECT ep, f, max(v) OVER w - min(v) OVER w AS r FROM s WINDOW w AS (PARTITION BY ep ORDER BY f DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), g AS (SELECT ep, count(*) AS n, coalesce(max(CASE WHEN r > 60 THEN f END) + 1, 0) AS start FROM t GROUP BY ep) SELECT ep, start, least(start + 3, n) AS mask_start, n AS \"end\" FROM g")
 def terminal_rest(spark, d):
     return series.terminal_rest(user_frames(spark, d), 60.0, FPS)
 

@@ -9,7 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 INFO = "fps double, total_episodes long, total_frames long, total_tasks long, data_path string, video_path string, features map<string, struct<dtype: string, shape: array<long>>>"
 
@@ -127,4 +126,4 @@ def outside(output: str, *sources: str) -> None:
             raise ValueError(f"{output} is inside {s}")
 
 
-EPISODE = T.StructType().add("episode_index", "long").add("tasks", "array<string>").add("length", "long").add("data/chunk_index", "long").add("data/file_index", "long").add("dataset_from_index", "long").add("dataset_to_index", "long")
+EPISODE = "episode_index long, tasks array<string>, length long, `data/chunk_index` long, `data/file_index` long, dataset_from_index long, dataset_to_index long"
