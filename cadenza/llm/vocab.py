@@ -141,7 +141,7 @@ class ByteLevelEncoder(SpanEncoder):
     """
 
     BATCH = 2000
-    WORDS = 1_500_000
+    WORDS = 2_000_000
     _PLAIN = np.array([b in (9, 11, 12, 13, 28, 29, 30, 31) for b in range(256)])
     #: Bytes that start white space, or marks that libraries disagree about, with what may come after them.
     _LEADS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)), (0xEF, (0xBB,)))
