@@ -64,6 +64,22 @@ def precedence_gate(left: Column, right: Column, wait, opened, closing, withdraw
     return ((left <= wait) | (right >= opened)) & ((right < closing) | (left >= withdrawn))
 
 
+def pickups_in_order(left: Column, right: Column, milestones: list[tuple[str, int]]) -> Column:
+    """Whether each milestone (side, frame) is still ahead of its side's clock, or the one before it has been passed by its own."""
+    clock, ok = {"left": left, "right": right}, F.lit(True)
+    for (before, passed), (side, frame) in zip(milestones, milestones[1:]):
+        ok = ok & ((clock[side] < frame) | (clock[before] > passed))
+    return ok
+
+
+def admitted(left: Column, right: Column, gates: list[tuple[str, int, str, int]]) -> Column:
+    """Whether each gate (side, stop, owner, pickup) holds: the side waits at its stop until the owner is past its pickup."""
+    clock, ok = {"left": left, "right": right}, F.lit(True)
+    for side, stop, owner, pickup in gates:
+        ok = ok & ((clock[side] <= stop) | (clock[owner] > pickup))
+    return ok
+
+
 def one_sided(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in one of two sets only, with the side: empty if they are equal."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))

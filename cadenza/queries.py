@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as X
-from .operators import audit, clocks, events, series, stats
+from .operators import audit, clocks, events, evidence, series, stats
 from .plans import solvers
 from .session import table
 from .streaming import sessions, tumbling
@@ -586,13 +586,180 @@ def best_event_subset(spark, d):
 
 
 def _cells(spark, d):
-    rows = user_frames(spark, d).where("f < 16")
+    """A grid of four columns for each episode; frames after the last whole row form no cell."""
+    rows = user_frames(spark, d).withColumn("n", F.floor(F.count("*").over(series.EP()) / 4).cast("long"))
     i, j = F.floor(F.col("f") / 4).cast("long"), (F.col("f") % 4).cast("long")
-    return rows.select("ep", F.lit(4).alias("n"), F.lit(4).alias("m"), i.alias("i"), j.alias("j"), (F.col("v") < 10).alias("blocked"))
+    return rows.select("ep", "n", F.lit(4).alias("m"), i.alias("i"), j.alias("j"), (F.col("v") < 1).alias("blocked")).where("n > 0 and i < n")
 
 
-@query(f"""WITH RECURSIVE {S}, c AS (SELECT ep, f // 4 AS i, f % 4 AS j, v < 10 AS bad FROM s WHERE f < 16), ok AS (SELECT * FROM c WHERE NOT bad),
+@query(f"""WITH RECURSIVE {S}, n AS (SELECT ep, count(*) // 4 AS n FROM s GROUP BY ep), c AS (SELECT ep, f // 4 AS i, f % 4 AS j, v < 1 AS bad, n FROM s JOIN n USING (ep) WHERE f // 4 < n), ok AS (SELECT * FROM c WHERE NOT bad),
 w(ep, i, j, k) AS (SELECT ep, i, j, 0 FROM ok WHERE i = 0 AND j = 0 UNION SELECT w.ep, ok.i, ok.j, w.k + 1 FROM w JOIN ok ON ok.ep = w.ep AND ok.i - w.i BETWEEN 0 AND 1 AND ok.j - w.j BETWEEN 0 AND 1 AND (ok.i, ok.j) <> (w.i, w.j)),
-g AS (SELECT ep, min(k) AS steps FROM w WHERE i = 3 AND j = 3 GROUP BY ep) SELECT e.ep, g.steps IS NOT NULL AS feasible, g.steps::BIGINT AS steps FROM (SELECT DISTINCT ep FROM s) e LEFT JOIN g USING (ep)""")
+g AS (SELECT ep, min(k) AS steps FROM w JOIN n USING (ep) WHERE i = n - 1 AND j = 3 GROUP BY ep) SELECT n.ep, g.steps IS NOT NULL AS feasible, g.steps::BIGINT AS steps FROM n LEFT JOIN g USING (ep) WHERE n > 0""")
 def min_wait_schedule(spark, d):
     return solvers.schedules(_cells(spark, d))
+
+
+# ---- evidence
+
+
+@query(f"""WITH {S}, x AS (SELECT ep, event_id AS id, (v * 1.7::DOUBLE) % 180 AS hue, (f + 1)::DOUBLE AS br FROM s WHERE kind = 'purchase') SELECT a.ep, a.id AS a, b.id AS b FROM x a JOIN x b
+ON a.ep = b.ep AND a.id < b.id AND least(abs(a.hue - b.hue), 180 - abs(a.hue - b.hue)) < 15 AND greatest(a.br, b.br) / greatest(least(a.br, b.br), 1) < 3""")
+def similar_hues(spark, d):
+    rows = user_frames(spark, d).where("kind = 'purchase'")
+    return evidence.near_hues(rows.select("ep", F.col("event_id").alias("id"), (F.col("v") * 1.7 % 180).alias("hue"), (F.col("f") + 1).cast("double").alias("brightness")))
+
+
+@query(f"""WITH {V}, p AS (SELECT ep, f, k, embedding[k]::DOUBLE AS x, embedding[k + 7]::DOUBLE AS y FROM e, range(1, 8) t(k)),
+j AS (SELECT a.ep, a.f, a.k, b.x, b.y FROM p a JOIN p b ON a.ep = b.ep AND a.f = b.f AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.25),
+g AS (SELECT ep, f, k, count(*) AS members, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM j GROUP BY ep, f, k)
+SELECT ep, f, 7 AS seen, members, round(x, 9) AS x, round(y, 9) AS y FROM g WHERE members >= 5 QUALIFY row_number() OVER (PARTITION BY ep, f ORDER BY members DESC, k) = 1""")
+def point_consensus(spark, d):
+    at = F.explode(F.sequence(F.lit(1), F.lit(7)))
+    points = label_frames(spark, d).select("ep", "f", "vec", at.alias("point")).select("ep", "f", "point", F.element_at("vec", F.col("point")).alias("x"), F.element_at("vec", F.col("point") + 7).alias("y"))
+    return evidence.consensus(points, 0.5).withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
+
+
+LOOKS = f"{S}, {IV}, lk AS (SELECT iv.ep, id, f, v, event_id FROM iv JOIN s ON s.ep = iv.ep AND f >= grasp AND f < release)"
+
+
+def _looks(spark, d):
+    spans = _intervals(spark, d).select("ep", "id", F.col("grasp").alias("start"), F.col("release").alias("end"))
+    return events.interval_frames(user_frames(spark, d), spans)
+
+
+@query(f"""WITH {LOOKS}, g AS (SELECT ep, id, count(*) AS n, avg(CASE WHEN v / 100 > 0.5 THEN 1.0 ELSE 0 END)::DOUBLE AS r FROM lk GROUP BY ep, id)
+SELECT ep, id, n, CASE WHEN n >= 3 THEN round(r, 9) END AS remaining, CASE WHEN n < 3 THEN 'origin_unobservable' WHEN r < 0.4 THEN 'origin_departed' ELSE 'object_still_at_origin' END AS reason FROM g""")
+def origin_departures(spark, d):
+    looks = _looks(spark, d).select("ep", "id", (F.col("v") / 100).alias("score"))
+    return evidence.departures(looks, 0.5).withColumn("remaining", F.round("remaining", 9))
+
+
+@query(f"""WITH {LOOKS}, x AS (SELECT ep, id, CASE WHEN v > 20 THEN least(v - 20, event_id % 40) / (v - 20) END AS part FROM lk), g AS (SELECT ep, id, count(part) AS observed, coalesce(quantile_cont(part, 0.5), 1.0) AS o FROM x GROUP BY ep, id)
+SELECT ep, id, observed, round(o, 9) AS overlap, observed >= 3 AND o < 0.5 AS verified FROM g""")
+def detached_origins(spark, d):
+    area = F.greatest(F.col("v") - 20, F.lit(0.0))
+    return evidence.detached(_looks(spark, d).select("ep", "id", area.alias("area"), F.least(area, F.col("event_id") % 40).alias("both"))).withColumn("overlap", F.round("overlap", 9))
+
+
+@query(f"""WITH {S}, g AS (SELECT ep, avg((v >= 60)::INT) AS visible, avg((v < 20)::INT) AS occluded, avg((v >= 20 AND v < 30)::INT) AS partial FROM s GROUP BY ep)
+SELECT ep, round(visible, 9) AS visible, round(occluded, 9) AS occluded, round(partial, 9) AS partial, round(visible + occluded + partial, 9) AS explained, round(visible + occluded + 0.5 * partial, 9) AS evidence FROM g""")
+def visibility_shares(spark, d):
+    v = F.col("v")
+    out = evidence.visibility(user_frames(spark, d).select("ep", (v >= 60).alias("visible"), (v < 20).alias("supported"), (v < 30).alias("partial")))
+    return out.select("ep", *(F.round(c, 9).alias(c) for c in out.columns[1:]))
+
+
+@query(f"""WITH {S}, n AS (SELECT ep, count(*) AS n FROM s GROUP BY ep), m AS (SELECT ep, f, v / 100 AS v, n FROM s JOIN n USING (ep)), k AS (SELECT ep, f, list_sort(list(v) OVER (PARTITION BY ep ORDER BY f ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))[3] AS med FROM (
+  SELECT ep, f, v FROM m UNION ALL SELECT ep, -1 - f, v FROM m WHERE f < 2 UNION ALL SELECT ep, 2 * n - 1 - f, v FROM m WHERE f >= n - 2)),
+y AS (SELECT k.ep, k.f, med, kind <> 'error' AS clear FROM k JOIN s USING (ep, f)), fl AS (SELECT ep, f, t.k, CASE t.k WHEN 0 THEN med > 0.6 AND clear WHEN 1 THEN med < 0.5 AND clear ELSE NOT clear END AS flag FROM y, range(0, 3) t(k)),
+b AS (SELECT *, row_number() OVER (PARTITION BY ep, k ORDER BY f) - row_number() OVER (PARTITION BY ep, k, flag ORDER BY f) AS g FROM fl), r AS (SELECT ep, k, min(f) AS start, max(f) + 1 AS stop FROM b WHERE flag GROUP BY ep, k, g HAVING count(*) >= 3),
+la AS (SELECT ep, max(stop) - 1 AS last FROM r WHERE k = 0 GROUP BY ep), fi AS (SELECT r.ep, last, min(start) AS first FROM r JOIN la USING (ep) WHERE k = 1 AND start > last GROUP BY r.ep, last)
+SELECT fi.ep, last, first, max(start) AS contact_start, max(stop) AS contact_end FROM fi LEFT JOIN r ON r.ep = fi.ep AND k = 2 AND start < first AND stop <= first + 2 GROUP BY fi.ep, last, first""")
+def origin_departure_intervals(spark, d):
+    rows = user_frames(spark, d).select("ep", "f", (F.col("v") / 100).alias("v"), (F.col("kind") != "error").alias("clear"))
+    return evidence.departure_interval(rows, 10.0, 0.6, 0.5)
+
+
+@query(f"""WITH {V}, q AS (SELECT ep, f, CASE WHEN vec_id % 7 <> 0 THEN embedding[1]::DOUBLE END AS x, CASE WHEN vec_id % 7 <> 0 THEN embedding[2]::DOUBLE END AS y FROM e),
+h AS (SELECT *, last_value(x IGNORE NULLS) OVER up AS xa, first_value(x IGNORE NULLS) OVER dn AS xb, last_value(y IGNORE NULLS) OVER up AS ya, first_value(y IGNORE NULLS) OVER dn AS yb, last_value(CASE WHEN x IS NOT NULL THEN f END IGNORE NULLS) OVER up AS fa, first_value(CASE WHEN x IS NOT NULL THEN f END IGNORE NULLS) OVER dn AS fb FROM q
+WINDOW up AS (PARTITION BY ep ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), dn AS (PARTITION BY ep ORDER BY f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fl AS (SELECT ep, f, x IS NOT NULL AS seen, coalesce(x, xa + (f - fa)::DOUBLE / (fb - fa) * (xb - xa), xa, xb) AS x, coalesce(y, ya + (f - fa)::DOUBLE / (fb - fa) * (yb - ya), ya, yb) AS y FROM h), z AS (SELECT ep, max(f) AS m FROM fl GROUP BY ep),
+sm AS (SELECT a.ep, a.f, any_value(a.seen) AS seen, quantile_cont(b.x, 0.5) AS x, quantile_cont(b.y, 0.5) AS y FROM fl a JOIN z USING (ep), range(-2, 3) t(k), fl b WHERE b.ep = a.ep AND b.f = greatest(least(a.f + k, m), 0) GROUP BY a.ep, a.f),
+st AS (SELECT a.ep, a.f, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) < 0.07 AND a.seen AND b.seen AS flag FROM sm a JOIN sm b ON a.ep = b.ep AND b.f = a.f + 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY f) - row_number() OVER (PARTITION BY ep, flag ORDER BY f) AS g FROM st), r AS (SELECT ep, min(f) AS a, max(f) + 1 AS b FROM g WHERE flag GROUP BY ep, g HAVING count(*) >= 3)
+SELECT ep, min(greatest(a, 5)) AS settled FROM r WHERE least(b, 40) - greatest(a, 5) >= 3 GROUP BY ep""")
+def settled_open_frames(spark, d):
+    rows = label_frames(spark, d)
+    seen = lambda k: F.when(F.col("vec_id") % 7 != 0, F.element_at("vec", k))
+    spans = rows.select("ep").distinct().withColumns({"start": F.lit(5).cast("long"), "stop": F.lit(40).cast("long")})
+    return evidence.settled(rows.select("ep", "f", seen(1).alias("x"), seen(2).alias("y")), spans, 10.0, 0.07)
+
+
+@query(f"""WITH {S}, c AS (SELECT ep, f AS c, lead(f) OVER {W} AS stop FROM s WHERE kind <> 'click') SELECT c.ep, c::DOUBLE AS c, stop::DOUBLE AS stop, max(v) - min(v) AS range FROM c JOIN s ON s.ep = c.ep AND f BETWEEN c AND stop
+WHERE stop - c > 1 AND stop > 5 AND c < 60 GROUP BY c.ep, c, stop HAVING max(v) - min(v) > 60 + 1e-9""")
+def removed_motion_audit(spark, d):
+    rows = user_frames(spark, d)
+    bounds = rows.select("ep").distinct().withColumns({"opened": F.lit(5), "closing": F.lit(60)})
+    return evidence.removed_motion(rows.where("kind <> 'click'").select("ep", F.col("f").cast("double").alias("c")), rows, 60.0, bounds)
+
+
+@query(f"WITH {PLAT}, n AS (SELECT *, lead(c) OVER {W} AS next FROM p) SELECT ep, f, c, next FROM n WHERE c >= 3 AND next <= 30 AND c < 30 AND abs(next - c - 1) > 1e-8")
+def interrupted_execution(spark, d):
+    clock = _plateaus(spark, d)
+    return evidence.interruptions(clock, clock.select("ep").distinct().withColumns({"start": F.lit(3.0), "end": F.lit(30.0)}))
+
+
+@query(f"WITH {S}, n AS (SELECT ep, count(*) // 2 AS m FROM s GROUP BY ep) SELECT ep, f, event_id, place FROM (SELECT s.ep, f, event_id, row_number() OVER (PARTITION BY s.ep ORDER BY abs(f - m), f) AS place FROM s JOIN n USING (ep)) WHERE place <= 5")
+def nearest_frames(spark, d):
+    rows = user_frames(spark, d)
+    marks = rows.groupBy("ep").agg(F.floor(F.count("*") / 2).cast("long").alias("m"))
+    return evidence.nearest(rows, marks, 5).select("ep", "f", "event_id", "place")
+
+
+@query(f"""WITH {S}, x AS (SELECT ep, CASE WHEN kind = 'click' THEN 'left' ELSE 'right' END AS side, f AS pickup FROM s WHERE kind IN ('click', 'purchase') AND v > 85), k AS (SELECT ep FROM x GROUP BY ep HAVING count_if(side = 'left') = 2 AND count_if(side = 'right') = 2),
+c AS (SELECT *, row_number() OVER (PARTITION BY ep, side ORDER BY pickup) - 1 AS cycle FROM x JOIN k USING (ep)) SELECT ep, side, cycle, pickup, 2 * cycle + CASE WHEN side = 'left' THEN 0 ELSE 1 END AS place FROM c""")
+def alternating_pickups(spark, d):
+    rows = user_frames(spark, d).where("kind in ('click', 'purchase') and v > 85")
+    return evidence.alternating(rows.select("ep", F.when(F.col("kind") == "click", "left").otherwise("right").alias("side"), F.col("f").alias("pickup")))
+
+
+@query(f"WITH {S}, c AS (SELECT ep, floor(v / 3) AS c FROM s WHERE kind <> 'click'), m AS (SELECT DISTINCT ep, floor(v / 3) AS m FROM s WHERE kind = 'click') SELECT m.ep, m, count_if(c < m) AS \"left\", count_if(c <= m) AS \"right\" FROM m LEFT JOIN c USING (ep) GROUP BY m.ep, m")
+def sorted_positions(spark, d):
+    at = user_frames(spark, d).select("ep", "kind", F.floor(F.col("v") / 3).alias("x"))
+    return evidence.sorted_positions(at.where("kind <> 'click'").select("ep", F.col("x").alias("c")), at.where("kind = 'click'").select("ep", F.col("x").alias("m")))
+
+
+@query("SELECT user_id AS ep, event_type AS kind, quantile_disc(CASE WHEN event_id % 5 <> 0 THEN value END, 0.5) AS median, round(avg((event_id % 5 <> 0)::INT), 9) AS coverage FROM events GROUP BY 1, 2")
+def masked_medians(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("ep"), F.col("event_type").alias("kind"), F.col("value").alias("x"), (F.col("event_id") % 5 == 0).alias("masked"))
+    return evidence.masked_median(rows, "ep", "kind").withColumn("coverage", F.round("coverage", 9))
+
+
+@query("SELECT user_id AS ep, bool_and(value < 150) AS verified, count_if(value >= 150) AS weak, coalesce(string_agg(DISTINCT CASE WHEN value >= 150 THEN event_type END, ',' ORDER BY CASE WHEN value >= 150 THEN event_type END), '') AS reasons FROM events GROUP BY 1")
+def gate_verdicts(spark, d):
+    return evidence.gate_verdicts(table(spark, d, "events").select(F.col("user_id").alias("ep"), F.col("event_type").alias("name"), (F.col("value") < 150).alias("passed")), "ep")
+
+
+@query(f"""WITH {V}, p AS (SELECT ep, f, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM e WHERE f BETWEEN 2 AND 12), o AS (SELECT p.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, b.z AS bz, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS l
+  FROM p JOIN p a ON a.ep = p.ep AND a.f = 2 JOIN p b ON b.ep = p.ep AND b.f = 12),
+u AS (SELECT ep, z, (x * (bx - ax) + y * (by_ - ay)) / l AS s, (y * (bx - ax) - x * (by_ - ay)) / l AS t FROM o WHERE l >= 0.03 AND sqrt((x - bx) * (x - bx) + (y - by_) * (y - by_) + (z - bz) * (z - bz)) < l * 1.5)
+SELECT ep, round(min(s) - 0.2, 9) AS back, round(max(s), 9) AS front, round(min(t) - 0.12, 9) AS near, round(max(t) + 0.12, 9) AS far, round(min(z) - 0.035, 9) AS low, round(max(z) + 0.035, 9) AS high FROM u GROUP BY ep""")
+def swept_boxes(spark, d):
+    rows = label_frames(spark, d)
+    path = rows.select("ep", "f", *(F.element_at("vec", k + 1).alias(c) for k, c in enumerate("xyz")))
+    out = evidence.swept_boxes(path, rows.select("ep").distinct().withColumns({"pull": F.lit(2), "opened": F.lit(12)}))
+    return out.select("ep", *(F.round(c, 9).alias(c) for c in out.columns[1:]))
+
+
+@query(f"""WITH {PLAT}, x AS (SELECT *, f >= count(*) OVER (PARTITION BY ep) - 3 AS held FROM p), g AS (SELECT ep, count(*) AS n, count_if(held) AS held, min(CASE WHEN held THEN f END) AS start, max(CASE WHEN held THEN c END) - min(CASE WHEN held THEN c END) AS moved FROM x GROUP BY ep) SELECT * FROM g WHERE held <> 3 OR start <> n - held OR moved > 0""")
+def hold_audit(spark, d):
+    rows = _plateaus(spark, d).withColumn("held", F.col("f") >= F.count("*").over(series.EP()) - 3)
+    return evidence.hold_errors(rows, FPS, 1.5)
+
+
+@query("SELECT user_id AS ep, dense_rank() OVER (ORDER BY user_id) - 1 AS place FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')")
+def dense_cohort_rank(spark, d):
+    own = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("ep")).distinct()
+    return own.withColumn("place", (F.dense_rank().over(Window.orderBy("ep")) - 1).cast("long"))
+
+
+@query(f"""WITH {S}, g AS (SELECT ep, v - lag(v) OVER {W} AS gap FROM s) SELECT ep, round(min(gap), 9) AS p0, round(quantile_cont(gap, 0.05), 9) AS p5, round(quantile_cont(gap, 0.5), 9) AS p50, round(quantile_cont(gap, 0.95), 9) AS p95, round(max(gap), 9) AS p100 FROM g GROUP BY ep""")
+def gap_percentiles(spark, d):
+    rows = user_frames(spark, d).withColumn("gap", F.col("v") - F.lag("v").over(series.ORDER()))
+    out = rows.groupBy("ep").agg(F.percentile("gap", F.array(*(F.lit(q) for q in (0.0, 0.05, 0.5, 0.95, 1.0)))).alias("q"))
+    return out.select("ep", *(F.round(F.col("q")[k], 9).alias(f"p{p}") for k, p in enumerate((0, 5, 50, 95, 100))))
+
+
+@query(f"WITH {S} SELECT ep, f, (v < 40 OR f > 10) AND (f < 30 OR v > 40) AS ordered, (v <= 50 OR f > 8) AND (f <= 25 OR v > 20) AS admitted FROM s")
+def order_gates(spark, d):
+    v, f = F.col("v"), F.col("f")
+    return user_frames(spark, d).select("ep", "f", events.pickups_in_order(v, f, [("right", 10), ("left", 40), ("right", 30)]).alias("ordered"), events.admitted(v, f, [("left", 50, "right", 8), ("right", 25, "left", 20)]).alias("admitted"))
+
+
+@query("""WITH p AS (SELECT page_id, strlen(html)::BIGINT AS n, page_id % 3 AS k FROM pages), q AS (SELECT page_id, n, CASE k WHEN 0 THEN page_id WHEN 1 THEN greatest(n - page_id, 0) ELSE page_id END AS a, CASE k WHEN 2 THEN least(page_id + 99, n - 1) ELSE n - 1 END AS b FROM p)
+SELECT page_id, CASE WHEN a <= b AND a < n THEN a END AS start, CASE WHEN a <= b AND a < n THEN b END AS "end" FROM q""")
+def byte_ranges(spark, d):
+    i = F.col("page_id")
+    header = F.when(i % 3 == 0, F.format_string("bytes=%d-", i)).when(i % 3 == 1, F.format_string("bytes=-%d", i)).otherwise(F.format_string("bytes=%d-%d", i, i + 99))
+    got = table(spark, d, "pages").select("page_id", X.byte_range(header, F.octet_length("html").cast("long")).alias("r"))
+    return got.select("page_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
