@@ -195,3 +195,48 @@ def hold_errors(rows: DataFrame, fps: float, seconds: float) -> DataFrame:
     c = F.when(F.col("held"), F.col("c"))
     out = rows.groupBy("ep").agg(F.count("*").alias("n"), F.count_if("held").alias("held"), F.min(F.when(F.col("held"), F.col("f"))).alias("start"), F.coalesce(F.max(c) - F.min(c), F.lit(0.0)).alias("moved"))
     return out.where((F.col("held") != n) | ((F.col("held") > 0) & (F.col("start") != F.col("n") - F.col("held"))) | (F.col("moved") > 0))
+
+
+def held_grasps(rows: DataFrame, pickups: DataFrame, fps: float) -> DataFrame:
+    """Per (ep, id) of ``pickups`` (ep, id, approach, start, stop): where a closed jaw of ``rows`` (ep, f, v: aperture) holds something.
+
+    A jaw is settled if max(3, fps / 10) frames range by at most 0.5, below the widest aperture by more than 2. Settling ends where the jaw
+    has opened by 2 again; the grasp starts at the first that is within 0.5 of the tightest and ends where it is left. Empty
+    closures (2 or less) and grasps shorter than the window are left out.
+    """
+    window = max(3, round(fps * 0.1))
+    w = Window.partitionBy("ep", "id").orderBy("f")
+    ahead = w.rowsBetween(0, window - 1)
+    inside = rows.select("ep", "f", "v").join(pickups, "ep").where((F.col("f") >= F.col("approach")) & (F.col("f") <= F.col("stop")))
+    inside = inside.withColumns({"low": F.min("v").over(ahead), "high": F.max("v").over(ahead), "full": F.count("v").over(ahead) == window, "wide": F.max("v").over(Window.partitionBy("ep", "id"))})
+    level = F.when((F.col("f") >= F.col("start")) & (F.col("f") + window <= F.col("stop")) & (F.col("high") - F.col("low") <= 0.5) & (F.col("high") < F.col("wide") - 2), F.col("high"))
+    inside = inside.where("full").withColumn("level", level)
+    reopened = F.coalesce((F.col("f") + window <= F.col("stop")) & (F.col("low") > F.min("level").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 2), F.lit(False))
+    inside = inside.withColumn("_r", reopened.cast("int")).withColumn("level", F.when(F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0, F.col("level")))
+    whole = Window.partitionBy("ep", "id")
+    inside = inside.withColumn("limit", F.min("level").over(whole) + 0.5).where("limit > 2.5")
+    inside = inside.withColumn("grasp", F.min(F.when(F.col("level") <= F.col("limit"), F.col("f"))).over(whole))
+    left = F.min(F.when((F.col("f") >= F.col("grasp") + window) & (F.col("low") > F.col("limit")), F.col("f")))
+    out = inside.groupBy("ep", "id", "grasp", "limit", "stop").agg(left.alias("_left")).withColumn("end", F.coalesce("_left", "stop"))
+    return out.where(F.col("end") - F.col("grasp") >= window).select("ep", "id", "grasp", "end", "limit")
+
+
+def robust_line(pairs: DataFrame, *keys: str, rounds: int = 3, least: int = 50, least_std: float = 5.0, least_off: float = 5.0) -> DataFrame:
+    """gain and offset of y over x for each of ``keys``, fitted again after residuals far from their median (3 deviations, 5 at least) are left out.
+
+    Values of 5 or less and of 250 or more don't count. A key with too few or too equal values keeps its fit, at first gain 1 and
+    offset 0. Both are clipped. Each round joins one row a key back to the pairs.
+    """
+    rows = pairs.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"keep": (F.least("x", "y") > 5) & (F.greatest("x", "y") < 250), "gain": F.lit(1.0), "offset": F.lit(0.0), "on": F.lit(True)})
+    kept = lambda c: F.when(F.col("keep"), c)
+    for _ in range(rounds):
+        fit = rows.groupBy(*keys).agg(F.count_if("keep").alias("_n"), F.stddev_pop(kept(F.col("x"))).alias("_s"), F.regr_slope(kept(F.col("y")), kept(F.col("x"))).alias("_a"), F.regr_intercept(kept(F.col("y")), kept(F.col("x"))).alias("_b"))
+        rows = rows.join(fit, list(keys)).withColumn("on", F.col("on") & (F.col("_n") >= least) & F.coalesce(F.col("_s") >= least_std, F.lit(False)))
+        rows = rows.withColumns({"gain": F.when(F.col("on"), F.col("_a")).otherwise(F.col("gain")), "offset": F.when(F.col("on"), F.col("_b")).otherwise(F.col("offset"))}).drop("_n", "_s", "_a", "_b")
+        rows = rows.withColumn("_res", F.col("y") - (F.col("gain") * F.col("x") + F.col("offset")))
+        rows = rows.join(rows.groupBy(*keys).agg(F.percentile(kept(F.col("_res")), 0.5).alias("_mid")), list(keys)).withColumn("_off", F.abs(F.col("_res") - F.col("_mid")))
+        rows = rows.join(rows.groupBy(*keys).agg(F.percentile(kept(F.col("_off")), 0.5).alias("_mad")), list(keys))
+        near = F.coalesce(F.col("_off") < F.greatest(F.lit(least_off), 3 * F.col("_mad")), F.lit(False))
+        rows = rows.withColumn("keep", F.col("keep") & (~F.col("on") | near)).drop("_res", "_mid", "_off", "_mad")
+    clip = lambda c, a, b: F.least(F.greatest(F.max(c), F.lit(a)), F.lit(b)).alias(c)
+    return rows.groupBy(*keys).agg(clip("gain", 0.65, 1.5), clip("offset", -50.0, 50.0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterable
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -131,9 +130,71 @@ def selected(candidates: DataFrame, apart: float, most_per_side: int = 2) -> Dat
 
 
 def assign(cost: np.ndarray, most: float = 2.5) -> list[tuple[int, int]]:
-    """Pairs (row, column) of the cheapest one-to-one assignment of a small matrix, without pairs above ``most``."""
+    """Pairs (row, column) of the cheapest one-to-one assignment, without pairs above ``most``.
+
+    Rows enter one by one, each along the cheapest alternating path under prices of rows and columns: n * n * m steps.
+    """
     n, m = cost.shape
     if n > m:
         return sorted((i, j) for j, i in assign(cost.T, most))
-    best = min(permutations(range(m), n), key=lambda p: sum(cost[i, j] for i, j in enumerate(p)), default=())
-    return [(i, j) for i, j in enumerate(best) if cost[i, j] <= most]
+    price, owner = np.zeros(m), np.full(m, -1)
+    pays = np.zeros(n)
+    for row in range(n):
+        far, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        i, j, length = row, -1, 0.0
+        while True:
+            over = length + cost[i] - pays[i] - price
+            better = ~done & (over < far)
+            far[better], via[better] = over[better], j
+            j = int(np.where(done, np.inf, far).argmin())
+            length, done[j] = far[j], True
+            if owner[j] < 0:
+                break
+            i = owner[j]
+        pays[row] += length
+        for k in np.flatnonzero(done):
+            if owner[k] >= 0:
+                pays[owner[k]] += length - far[k]
+            price[k] -= length - far[k]
+        while j >= 0:
+            owner[j] = row if via[j] < 0 else owner[via[j]]
+            j = int(via[j])
+    return sorted((int(i), j) for j, i in enumerate(owner) if i >= 0 and cost[i, j] <= most)
+
+
+def assignments(costs: DataFrame, most: float = 2.5) -> DataFrame:
+    """``assign`` for each ep of ``costs`` (ep, a, b, cost: every pair of the ep's few items)."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot(index="a", columns="b", values="cost").sort_index(axis=0).sort_index(axis=1)
+        found = assign(table.to_numpy(float), most)
+        return pd.DataFrame([(pdf.ep.iloc[0], table.index[i], table.columns[j], table.iat[i, j]) for i, j in found], columns=["ep", "a", "b", "cost"])
+
+    return costs.select("ep", "a", "b", "cost").groupBy("ep").applyInPandas(solve, "ep long, a long, b long, cost double")
+
+
+def peak_order(height: np.ndarray, speed: np.ndarray, within: float) -> list[int]:
+    """All frames in the order in which peaks are taken: each time the slowest, then first, of those within ``within`` of what is highest then."""
+    falling, gone, band, out = np.argsort(-height, kind="stable"), np.zeros(len(height), bool), [], []
+    top = seen = 0
+    while len(out) < len(height):
+        while gone[falling[top]]:
+            top += 1
+        while seen < len(falling) and height[falling[seen]] >= height[falling[top]] - within:
+            heapq.heappush(band, (speed[falling[seen]], int(falling[seen])))
+            seen += 1
+        at = heapq.heappop(band)[1]
+        gone[at] = True
+        out.append(at)
+    return out
+
+
+def ranked_peaks(frames: DataFrame, within: float) -> DataFrame:
+    """``peak_order`` for each ep of ``frames`` (ep, f, height, speed): ep, f, place."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("f")
+        order = peak_order(pdf.height.to_numpy(float), pdf.speed.to_numpy(float), within)
+        return pd.DataFrame({"ep": pdf.ep.iloc[0], "f": pdf.f.to_numpy()[order], "place": np.arange(len(order))})
+
+    return frames.select("ep", "f", "height", "speed").groupBy("ep").applyInPandas(solve, "ep long, f long, place long")

@@ -763,3 +763,39 @@ def byte_ranges(spark, d):
     header = F.when(i % 3 == 0, F.format_string("bytes=%d-", i)).when(i % 3 == 1, F.format_string("bytes=-%d", i)).otherwise(F.format_string("bytes=%d-%d", i, i + 99))
     got = table(spark, d, "pages").select("page_id", X.byte_range(header, F.octet_length("html").cast("long")).alias("r"))
     return got.select("page_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+
+
+HELD = "w AS (PARTITION BY ep ORDER BY f ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"
+
+
+@query(f"""WITH {S}, n AS (SELECT ep, count(*) - 2 AS stop FROM s GROUP BY ep), a AS (SELECT ep, f, floor(v / 25) * 3 AS v, stop FROM s JOIN n USING (ep) WHERE f <= stop),
+b AS (SELECT ep, f, stop, min(v) OVER w AS lo, max(v) OVER w AS hi, count(v) OVER w AS k, max(v) OVER (PARTITION BY ep) AS wide FROM a WINDOW {HELD}),
+c AS (SELECT *, CASE WHEN f >= 5 AND f + 3 <= stop AND hi - lo <= 0.5 AND hi < wide - 2 THEN hi END AS level FROM b WHERE k = 3),
+e AS (SELECT *, min(level) OVER (PARTITION BY ep ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS floor FROM c), k AS (SELECT ep, min(CASE WHEN f + 3 <= stop AND lo > floor + 2 THEN f END) AS broken FROM e GROUP BY ep),
+o AS (SELECT e.*, CASE WHEN broken IS NULL OR f < broken THEN level END AS ok FROM e JOIN k USING (ep)), g AS (SELECT ep, min(ok) + 0.5 AS "limit" FROM o GROUP BY ep), h AS (SELECT o.ep, "limit", stop, min(CASE WHEN ok <= "limit" THEN f END) AS grasp FROM o JOIN g USING (ep) WHERE "limit" > 2.5 GROUP BY o.ep, "limit", stop),
+l AS (SELECT h.ep, grasp, "limit", coalesce(min(CASE WHEN f >= grasp + 3 AND lo > "limit" THEN f END), h.stop) AS "end" FROM h JOIN o USING (ep) GROUP BY h.ep, grasp, "limit", h.stop) SELECT ep, 1 AS id, grasp, "end", "limit" FROM l WHERE "end" - grasp >= 3""")
+def held_grasps(spark, d):
+    rows = user_frames(spark, d).select("ep", "f", (F.floor(F.col("v") / 25) * 3).cast("double").alias("v"))
+    pickups = rows.groupBy("ep").agg((F.count("*") - 2).alias("stop")).select("ep", F.lit(1).alias("id"), F.lit(0).alias("approach"), F.lit(5).alias("start"), "stop")
+    return evidence.held_grasps(rows, pickups, 10.0)
+
+
+@query()
+def robust_line_fit(spark, d):
+    v, i = F.col("value"), F.col("event_id")
+    y = v * 1.1 + i % 7 + F.when(i % 13 == 0, 60.0).otherwise(0.0)
+    return evidence.robust_line(table(spark, d, "events").select("user_id", v.alias("x"), y.alias("y")), "user_id")
+
+
+@query()
+def assigned_pairs(spark, d):
+    rows = user_frames(spark, d).select("ep", "event_id", "kind", "v")
+    a = rows.where("kind = 'click'").select("ep", F.col("event_id").alias("a"), F.col("v").alias("va"))
+    b = rows.where("kind = 'purchase'").select("ep", F.col("event_id").alias("b"), F.col("v").alias("vb"))
+    return solvers.assignments(a.join(b, "ep").select("ep", "a", "b", (F.abs(F.col("va") - F.col("vb")) / 10).alias("cost")))
+
+
+@query()
+def ranked_peaks(spark, d):
+    rows = user_frames(spark, d)
+    return solvers.ranked_peaks(rows.select("ep", "f", F.col("v").alias("height"), F.abs(series.gradient(F.col("v"))).alias("speed")).fillna(0.0, ["speed"]), 20.0)
