@@ -225,18 +225,19 @@ def robust_line(pairs: DataFrame, *keys: str, rounds: int = 3, least: int = 50,
     """gain and offset of y over x for each of ``keys``, fitted again after residuals far from their median (3 deviations, 5 at least) are left out.
 
     Values of 5 or less and of 250 or more don't count. A key with too few or too equal values keeps its fit, at first gain 1 and
-    offset 0. Both are clipped. Each round joins one row a key back to the pairs.
+    offset 0. Both are clipped. All rounds are windows over the same keys: one shuffle.
     """
     rows = pairs.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"keep": (F.least("x", "y") > 5) & (F.greatest("x", "y") < 250), "gain": F.lit(1.0), "offset": F.lit(0.0), "on": F.lit(True)})
     kept = lambda c: F.when(F.col("keep"), c)
+    w = Window.partitionBy(*keys)
     for _ in range(rounds):
-        fit = rows.groupBy(*keys).agg(F.count_if("keep").alias("_n"), F.stddev_pop(kept(F.col("x"))).alias("_s"), F.regr_slope(kept(F.col("y")), kept(F.col("x"))).alias("_a"), F.regr_intercept(kept(F.col("y")), kept(F.col("x"))).alias("_b"))
-        rows = rows.join(fit, list(keys)).withColumn("on", F.col("on") & (F.col("_n") >= least) & F.coalesce(F.col("_s") >= least_std, F.lit(False)))
-        rows = rows.withColumns({"gain": F.when(F.col("on"), F.col("_a")).otherwise(F.col("gain")), "offset": F.when(F.col("on"), F.col("_b")).otherwise(F.col("offset"))}).drop("_n", "_s", "_a", "_b")
+        kx, ky = kept(F.col("x")), kept(F.col("y"))
+        rows = rows.withColumns({"_n": F.count(kx).over(w), "_s": F.stddev_pop(kx).over(w), "_a": F.regr_slope(ky, kx).over(w), "_b": F.regr_intercept(ky, kx).over(w)})
+        rows = rows.withColumn("on", F.col("on") & (F.col("_n") >= least) & F.coalesce(F.col("_s") >= least_std, F.lit(False)))
+        rows = rows.withColumns({"gain": F.when(F.col("on"), F.col("_a")).otherwise(F.col("gain")), "offset": F.when(F.col("on"), F.col("_b")).otherwise(F.col("offset"))})
         rows = rows.withColumn("_res", F.col("y") - (F.col("gain") * F.col("x") + F.col("offset")))
-        rows = rows.join(rows.groupBy(*keys).agg(F.percentile(kept(F.col("_res")), 0.5).alias("_mid")), list(keys)).withColumn("_off", F.abs(F.col("_res") - F.col("_mid")))
-        rows = rows.join(rows.groupBy(*keys).agg(F.percentile(kept(F.col("_off")), 0.5).alias("_mad")), list(keys))
-        near = F.coalesce(F.col("_off") < F.greatest(F.lit(least_off), 3 * F.col("_mad")), F.lit(False))
-        rows = rows.withColumn("keep", F.col("keep") & (~F.col("on") | near)).drop("_res", "_mid", "_off", "_mad")
+        rows = rows.withColumn("_off", F.abs(F.col("_res") - F.percentile(kept(F.col("_res")), 0.5).over(w)))
+        near = F.coalesce(F.col("_off") < F.greatest(F.lit(least_off), 3 * F.percentile(kept(F.col("_off")), 0.5).over(w)), F.lit(False))
+        rows = rows.withColumn("_near", near).withColumn("keep", F.col("keep") & (~F.col("on") | F.col("_near"))).select(*keys, "x", "y", "keep", "gain", "offset", "on")
     clip = lambda c, a, b: F.least(F.greatest(F.max(c), F.lit(a)), F.lit(b)).alias(c)
     return rows.groupBy(*keys).agg(clip("gain", 0.65, 1.5), clip("offset", -50.0, 50.0))
