@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    return near_dups.keep(docs)
+    """One document of each group of near-duplicates (similarity of 0.8 or more): the one with the least id."""
+    return near_dups.keep(docs, percent=80)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
