@@ -3,14 +3,16 @@
 Nodes of a document's graph, in order of place:
 
 * base entities, found by fixed patterns (email, ip, card, phone): observed, their label is fixed;
-* other tokens with a digit or an at sign, and tokens that repeat the local part of an observed address: free.
+* other tokens with a digit or an at sign, numbers written over blanks and parentheses, and tokens that repeat the
+  local part of an observed address: free.
   All other words have the label "none" for certain, so they part the chain and need no node.
 
 Factors: a node's shape and the words before it (softmax weights); neighbours within GAP characters (a weight for
-each pair of labels); and skip edges from each node to the next one with the same key, however far: the same digits at
-the end (numbers), the same local part (addresses), the same token. Skip edges link an occurrence to the next
-only, so their number is linear in the occurrences. Loopy message passing makes labels of such nodes agree; a free
-node whose marginal for an entity label is at least SURE becomes a span.
+each pair of labels); and skip edges between nodes with the same key, however far: the same digits at the end
+(numbers), the same local part (addresses), the same token. Skip edges link an occurrence to the next one and each
+free one to the first observed one with its key (to the first, if none is observed), so their number is linear in the
+occurrences and evidence doesn't fade from repeat to repeat. Loopy message passing, run until messages settle, makes
+labels of such nodes agree; a free node whose marginal for an entity label is at least SURE becomes a span.
 
 Weights are learned piecewise from at most SAMPLE documents (least hash of the id), labelled by the base patterns and, for
 secrets, by a cue with a long token after it.
@@ -21,9 +23,11 @@ empty result; other columns are ignored (``redact`` keeps them).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,9 @@ BASE = 4
 NONE = len(KINDS)
 L = NONE + 1
 SAMPLE, NODES = 2000, 64
-GAP, ROUNDS, SURE = 40, 12, 0.8
+GAP, SURE = 40, 0.8
+#: Damped messages settle in some tens of rounds; the bound only ends what would swing for ever.
+MOST_ROUNDS = 1000
 
 # Each is linear in the text: runs are possessive, and what starts within a run can't match unless the run does.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -49,6 +55,7 @@ _IN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 _EDGE = frozenset(" \t\r\n\"'<>()[]{},;:=|\u00a0")
 _TRIM = ".,!?*#$%&-_"
 _HIT = re.compile(r"[0-9@]+")
+_RUN = re.compile(r"[0-9]++(?:[ ().\u00a0-]{1,3}[0-9]++)++")
 _CUE = re.compile(r"(token|secret|passw(?:or)?d|api[_ -]?key|key|bearer)\W{0,6}\Z", re.I)
 _CUES = [re.compile(p, re.I) for p in (r"token|secret|passw|key|bearer", r"phone|tel\b|call|fax|mobile", r"card|visa|credit", r"\bip\b|host|addr", r"mail|contact")]
 
@@ -113,8 +120,54 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def _digits(token: str) -> str:
+    return "".join(c for c in token if "0" <= c <= "9")
+
+
+def _numbers(text: str, known: dict[tuple, str]) -> dict[tuple[int, int], tuple]:
+    """Span: key of numbers over blanks and parentheses: runs of 7 to 15 digits, and stretches of any run that have the key of a number in ``known`` (its digits by key) or of such a run."""
+    known, found, runs = dict(known), {}, []
+    for m in _RUN.finditer(text):
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer("[0-9]+", m[0])]
+        digits = _digits(m[0])
+        runs.append((groups, digits))
+        if 7 <= len(digits) <= 15 and re.search("[ ()\u00a0]", m[0]) and _apart(text, groups[0][0], groups[-1][1]):
+            key = ("digits", digits[-9:])
+            known[key] = max(known.get(key, ""), digits, key=len)
+            found[_opened(text, groups[0][0], groups[-1][1])] = key
+    for groups, digits in runs if known else ():
+        at = np.cumsum([0, *(b - a for a, b in groups)]).tolist()
+        for last in range(1, len(groups)):
+            end = at[last + 1]
+            for n in (7, 8, 9):
+                key = ("digits", digits[max(0, end - n) : end])
+                if key not in known or end < n:
+                    continue
+                first = last
+                while at[first] > end - n:
+                    first -= 1
+                if n < 9 and at[first] < end - n:
+                    continue
+                while first and known[key].endswith(digits[at[first - 1] : end]):
+                    first -= 1
+                if first < last and _apart(text, groups[first][0], groups[last][1]):
+                    found[_opened(text, groups[first][0], groups[last][1])] = key
+    return found
+
+
+def _opened(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch with the parenthesis before it, if that is closed inside."""
+    inside = text[start:end]
+    return (start - (text[start - 1 : start] == "(" and ")" in inside.partition("(")[0]), end)
+
+
+def _apart(text: str, start: int, end: int) -> bool:
+    """No letter, digit or at sign beside the stretch."""
+    return not re.match(r"[\w@]", text[start - 1 : start]) and not re.match(r"[\w@]", text[end : end + 1])
+
+
 def _key(kind: int, token: str) -> tuple | None:
-    digits = "".join(c for c in token if "0" <= c <= "9")
+    digits = _digits(token)
     if kind == 0:
         return "local", token.split("@")[0].lower()
     if "@" in token:
@@ -129,7 +182,16 @@ def graph(text: str) -> list[tuple[int, int, int, tuple | None]]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     nodes = [(k, a, b, _key(k, text[a:b])) for k, a, b in base]
-    free = list(_tokens(text))
+    tokens = list(_tokens(text))
+    keys = [(n[3], n[1], n[2]) for n in nodes] + [(_key(NONE, text[a:b]), a, b) for a, b in tokens]
+    known: dict[tuple, str] = {}
+    for key, a, b in keys:
+        if key and key[0] == "digits":
+            known[key] = max(known.get(key, ""), _digits(text[a:b]), key=len)
+    observed = _reach(taken)
+    numbers = {(a, b): k for (a, b), k in _numbers(text, known).items() if observed(b - 1) <= a}
+    within = _reach(sorted(numbers))
+    free = [*numbers, *((a, b) for a, b in tokens if len(_digits(text[a:b])) >= 7 or within(a) < b)]
     for local in {n[3][1] for n in nodes if n[0] == 0 and len(n[3][1]) >= 5 and re.search(r"[._0-9]", n[3][1])}:
         free += [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9._%+@-]){re.escape(local)}(?![A-Za-z0-9_%+@-]|\.[A-Za-z0-9])", text, re.I)]
     at = 0
@@ -138,11 +200,35 @@ def graph(text: str) -> list[tuple[int, int, int, tuple | None]]:
             at += 1
         if any(x < b and a < y for x, y in taken[at : at + 4]):
             continue
-        key = _key(NONE, text[a:b])
+        key = numbers.get((a, b)) or _key(NONE, text[a:b])
         nodes.append((NONE, a, b, ("local", text[a:b].lower()) if key is None or not re.search("[0-9@]", text[a:b]) else key))
     return sorted(nodes, key=lambda n: (n[1], n[2], n[0]))
 
 
+def _reach(spans: list[tuple[int, int]]):
+    """Of sorted spans: the furthest end of those that start at or before a place."""
+    starts, ends = [a for a, _ in spans], [0, *accumulate((b for _, b in spans), max)]
+    return lambda at: ends[bisect.bisect_right(starts, at)]
+
+
+def edges_of(nodes: list[tuple[int, int, int, tuple | None]]) -> list[tuple[int, int, int]]:
+    """(i, j, 0) for neighbours; (i, j, 1) for skip edges: to the next node with the key, and from its hub to each free node."""
+    near, far, last, hub = [], set(), {}, {}
+    for x, (kind, _, _, key) in enumerate(nodes):
+        if key is not None and (key not in hub or kind != NONE and nodes[hub[key]][0] == NONE):
+            hub[key] = x
+    for x, (kind, a, _, key) in enumerate(nodes):
+        if x and a - nodes[x - 1][2] <= GAP:
+            near.append((x - 1, x, 0))
+        if key is not None:
+            if key in last:
+                far.add((last[key], x, 1))
+            last[key] = x
+            if kind == NONE and hub[key] != x:
+                far.add((min(hub[key], x), max(hub[key], x), 1))
+    return near + sorted(far)
+
+
 N_FEATURES = 22
 
 
@@ -180,7 +266,7 @@ class Field:
             weight = np.concatenate([weight, weight.transpose(0, 2, 1)])
             back = np.r_[np.arange(len(i)) + len(i), np.arange(len(i))]
             said = np.zeros((len(source), L))
-            for _ in range(ROUNDS):
+            for _ in range(MOST_ROUNDS):
                 belief = scores.copy()
                 np.add.at(belief, target, said)
                 out = (belief[source] - said[back])[:, :, None] + weight
@@ -204,20 +290,13 @@ class Field:
         if len(base) == len(nodes):
             return base, base
         scores = np.zeros((len(nodes), L))
-        edges, last = [], {}
-        for x, (kind, a, b, key) in enumerate(nodes):
+        for x, (kind, a, b, _) in enumerate(nodes):
             if kind == NONE:
                 scores[x] = self.unary @ np.array(features(text, a, b), float)
             else:
                 scores[x] = -30.0
                 scores[x, kind] = 0.0
-            if x and a - nodes[x - 1][2] <= GAP:
-                edges.append((x - 1, x, 0))
-            if key is not None:
-                if key in last:
-                    edges.append((last[key], x, 1))
-                last[key] = x
-        p = self.marginals(scores, edges)
+        p = self.marginals(scores, edges_of(nodes))
         label = p[:, :NONE].argmax(axis=1)
         more = [(int(label[x]), a, b) for x, (kind, a, b, _) in enumerate(nodes) if kind == NONE and p[x, label[x]] >= SURE]
         return base, sorted(base + more)

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from cadenza.llm import near_dups
+from cadenza.llm import near_dups, pii
 
 
 def passage(rng, n=120):
@@ -48,3 +51,33 @@ def test_half_bands_meet_at_080():
     """A pair at the threshold meets in a table for all but 0.1 % of pairs."""
     miss = 1 - (1 - (1 - 0.8**near_dups.ROWS) ** near_dups.HALVES) ** 2
     assert miss < 0.001
+
+
+def plain_field(skip):
+    """No evidence but for skip edges."""
+    return pii.Field(np.zeros((pii.L, pii.N_FEATURES)), np.zeros((pii.L, pii.L)), skip)
+
+
+@pytest.mark.parametrize("repeats", [3, 15, 100])
+@pytest.mark.parametrize("skip", [2.0, 3.0, 4.0])
+def test_every_repeat_of_an_entity_is_found(repeats, skip):
+    text = "mail jane.doe@z.org " + "and so on with many other words between the names jane.doe " * repeats
+    base, every = plain_field(skip).spans(text)
+    assert len(base) == 1 and [text[a:b] for k, a, b in every if k == 0] == ["jane.doe@z.org"] + ["jane.doe"] * repeats
+
+
+def test_evidence_reaches_back_and_past_other_repeats():
+    words = "and so on with many other words between the names "
+    text = (words + "jane.doe ") * 30 + words + "jane.doe@z.org " + (words + "jane.doe ") * 30
+    assert len(plain_field(4.0).spans(text)[1]) == 61
+    nodes = pii.graph(text)
+    assert len(pii.edges_of(nodes)) <= 3 * len(nodes)
+
+
+def test_phone_variants_have_one_key():
+    words = " and so on with many other words between the numbers "
+    variants = ["(555) 123-4567", "555 123 4567", "1 (555) 123 4567", "555.123.4567", "5551234567"]
+    text = "+1 555 123 4567" + words + words.join(variants) + words + "rows 10 20 30 40 50 60 70 80 90 100 555 123 4567 12"
+    numbers = [text[a:b] for _, a, b, key in pii.graph(text) if key == ("digits", "551234567")]
+    assert numbers == ["+1 555 123 4567", *variants, "555 123 4567"]
+    assert [text[a:b] for k, a, b in plain_field(4.0).spans(text)[1] if k == 3] == numbers
