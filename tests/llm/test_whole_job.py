@@ -81,3 +81,23 @@ def test_phone_variants_have_one_key():
     numbers = [text[a:b] for _, a, b, key in pii.graph(text) if key == ("digits", "551234567")]
     assert numbers == ["+1 555 123 4567", *variants, "555 123 4567"]
     assert [text[a:b] for k, a, b in plain_field(4.0).spans(text)[1] if k == 3] == numbers
+
+
+def test_keep_leaves_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(2)
+    a, b, c, d, e = (passage(rng) for _ in range(5))
+    near = lambda w: " ".join([*w[:-1], "x"])
+    rows = [(None, " ".join(a))] * 3 + [(None, near(a))]  # a group of null ids
+    rows += [(7, " ".join(b)), (7, near(b))]  # near copies under one id
+    rows += [(3, " ".join(c)), (9, " ".join(c)), (9, " ".join(d)), (12, near(d))]  # 9 goes as a copy of 3, and stays as the least of d
+    rows += [(None, " ".join(e)), (20, near(e))] + [(None, None), (None, ""), (None, ""), (30, ""), (30, ""), (31, "one two")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    kept = near_dups.keep(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect() if r.text), key=str)
+    one_a = [t for i, t in got if i is None]
+    assert len(one_a) == 1 and one_a[0] in (" ".join(a), near(a))
+    assert [i for i, t in got if t in (" ".join(b), near(b))] == [7]
+    rest = [(i, t) for i, t in got if i not in (None, 7)]
+    assert sorted(rest) == sorted([(3, " ".join(c)), (9, " ".join(d)), (20, near(e)), (31, "one two")])
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id = 30 or doc_id is null and coalesce(text, '') = ''").fillna({"doc_id": -1, "text": "-"}).collect()) == [(-1, ""), (-1, ""), (-1, "-"), (30, "")]
