@@ -101,3 +101,12 @@ def test_keep_leaves_one_row_of_each_group_whatever_the_ids(spark):
     rest = [(i, t) for i, t in got if i not in (None, 7)]
     assert sorted(rest) == sorted([(3, " ".join(c)), (9, " ".join(d)), (20, near(e)), (31, "one two")])
     assert sorted((r.doc_id, r.text) for r in kept.where("doc_id = 30 or doc_id is null and coalesce(text, '') = ''").fillna({"doc_id": -1, "text": "-"}).collect()) == [(-1, ""), (-1, ""), (-1, "-"), (30, "")]
+
+
+def test_pairs_at_the_threshold_of_op10_meet():
+    """20,000 pairs of exactly 0.85: with 8 halves 20 of these met in no table."""
+    rng, h = np.random.default_rng(5), near_dups.HALVES
+    for _ in range(20_000):
+        x = rng.integers(0, 2**63, 100, dtype=np.uint64)
+        same = near_dups.half_keys(x[:92]) == near_dups.half_keys(np.r_[x[:85], x[92:]])
+        assert same[:h].any() and same[h:].any()
