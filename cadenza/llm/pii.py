@@ -14,7 +14,7 @@ free one to the first observed one with its key (to the first, if none is observ
 occurrences and evidence doesn't fade from repeat to repeat. Loopy message passing, run until messages settle, makes
 labels of such nodes agree; a free node whose marginal for an entity label is at least SURE becomes a span.
 
-Weights are learned piecewise from at most SAMPLE documents (least hash of the id), labelled by the base patterns and, for
+Weights are learned piecewise from all nodes of at most SAMPLE documents (least hash of the id), labelled by the base patterns and, for
 secrets, by a cue with a long token after it.
 
 Nulls, empties, repeats: a null or empty text has no spans; rows repeat as they are; null ids are kept; an empty table gives an
@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -40,7 +41,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = 4
 NONE = len(KINDS)
 L = NONE + 1
-SAMPLE, NODES = 2000, 64
+SAMPLE = 2000
 GAP, SURE = 40, 0.8
 #: Damped messages settle in some tens of rounds; the bound only ends what would swing for ever.
 MOST_ROUNDS = 1000
@@ -302,7 +303,7 @@ class Field:
         return base, sorted(base + more)
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, chain: np.ndarray, agree: tuple[int, int]) -> Field:
+def fit(rows: np.ndarray, labels: np.ndarray, chain: np.ndarray, agree: tuple[int, int], times: np.ndarray) -> Field:
     """Piecewise training: softmax regression for nodes, log ratios of label pairs for neighbours, log odds of agreement for skip edges."""
     unary = np.zeros((L, N_FEATURES))
     unary[NONE, 0] = 4.0
@@ -313,7 +314,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, chain: np.ndarray, agree: tuple[in
             z = rows @ unary.T
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            momentum = 0.9 * momentum + (p - want).T @ rows / len(rows) + 1e-4 * unary
+            momentum = 0.9 * momentum + ((p - want) * times[:, None]).T @ rows / times.sum() + 1e-4 * unary
             unary -= 0.5 * momentum
     pairs = chain + 1.0
     ratio = np.log(pairs * pairs.sum() / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True)))
@@ -321,37 +322,42 @@ def fit(rows: np.ndarray, labels: np.ndarray, chain: np.ndarray, agree: tuple[in
 
 
 def _emit_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text: its first NODES nodes' features and labels, the labels of neighbours, and of skip edges."""
+    """For each slice of texts: the distinct features with label of all nodes, as bits, with their numbers; those of label pairs of neighbours, and of skip edges that agree or not."""
     for batch in common.slices(batches):
+        seen, near, far = Counter(), [0] * (L * L), [0, 0]
         for text in common.column(batch, "text"):
-            nodes = graph(text)[:NODES]
+            nodes = graph(text)
             labels = [label_of(text, n) for n in nodes]
-            near = [(labels[k - 1], labels[k]) for k in range(1, len(nodes)) if nodes[k][1] - nodes[k - 1][2] <= GAP]
-            last, far = {}, []
-            for n, label in zip(nodes, labels):
-                if n[3] in last:
-                    far.append((last[n[3]], label))
+            last = {}
+            for k, (n, label) in enumerate(zip(nodes, labels)):
+                seen[sum(1 << i for i, v in enumerate(features(text, n[1], n[2])) if v), label] += 1
+                if k and n[1] - nodes[k - 1][2] <= GAP:
+                    near[labels[k - 1] * L + label] += 1
                 if n[3] is not None:
+                    if n[3] in last and (last[n[3]], label) != (NONE, NONE):
+                        far[last[n[3]] != label] += 1
                     last[n[3]] = label
-            flat = lambda x: [v for p in x for v in p]
-            yield pa.record_batch({"x": pa.array([[float(v) for n in nodes for v in features(text, n[1], n[2])]], pa.list_(pa.float64())), "y": pa.array([labels], pa.list_(pa.int64())), "near": pa.array([flat(near)], pa.list_(pa.int64())), "far": pa.array([flat(far)], pa.list_(pa.int64()))})
+        yield pa.record_batch({"x": pa.array([[x for x, _ in seen]], pa.list_(pa.int64())), "y": pa.array([[y for _, y in seen]], pa.list_(pa.int64())), "times": pa.array([list(seen.values())], pa.list_(pa.int64())), "near": pa.array([near], pa.list_(pa.int64())), "far": pa.array([far], pa.list_(pa.int64()))})
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """The field learned from at most ``sample`` of ``docs`` (doc_id, text); texts stay in their tasks."""
     some = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = docs.join(F.broadcast(some.distinct()), "doc_id", "left_semi").select("text").limit(2 * sample)
-    found = found.mapInArrow(_emit_examples, "x array<double>, y array<long>, near array<long>, far array<long>").toArrow()
-    rows = np.array([v for x in found["x"].to_pylist() for v in x], float).reshape(-1, N_FEATURES)
-    labels = np.array([v for y in found["y"].to_pylist() for v in y], np.int64)
-    chain, agree = np.zeros((L, L)), [0, 0]
-    for near, far in zip(found["near"].to_pylist(), found["far"].to_pylist()):
-        for a, b in zip(near[::2], near[1::2]):
-            chain[a, b] += 1
-        for a, b in zip(far[::2], far[1::2]):
-            if a != NONE or b != NONE:
-                agree[a != b] += 1
-    return fit(rows, labels, chain, tuple(agree))
+    return _fitted(found.mapInArrow(_emit_examples, "x array<long>, y array<long>, times array<long>, near array<long>, far array<long>").toArrow())
+
+
+def _fitted(found: pa.Table) -> Field:
+    seen, chain, agree = Counter(), np.zeros((L, L)), np.zeros(2, np.int64)
+    for r in found.to_pylist():
+        for x, y, n in zip(r["x"], r["y"], r["times"]):
+            seen[x, y] += n
+        chain += np.array(r["near"], float).reshape(L, L)
+        agree += np.array(r["far"], np.int64)
+    examples = sorted(seen)
+    rows = np.array([[x >> i & 1 for i in range(N_FEATURES)] for x, _ in examples], float).reshape(-1, N_FEATURES)
+    labels = np.array([y for _, y in examples], np.int64)
+    return fit(rows, labels, chain, tuple(agree.tolist()), np.array([seen[e] for e in examples], float))
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

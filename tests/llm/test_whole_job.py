@@ -110,3 +110,10 @@ def test_pairs_at_the_threshold_of_op10_meet():
         x = rng.integers(0, 2**63, 100, dtype=np.uint64)
         same = near_dups.half_keys(x[:92]) == near_dups.half_keys(np.r_[x[:85], x[92:]])
         assert same[:h].any() and same[h:].any()
+
+
+def test_learning_counts_all_nodes_of_a_text(spark):
+    words = " and so on with many other words between them "
+    text = words.join(f"n{i:03}" for i in range(100)) + words + words.join(["jane.doe@z.org"] * 21)
+    field = pii.learn(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert abs(field.skip[0, 0] - np.log(21)) < 1e-9  # 20 skip edges agree, all after the 64th node
