@@ -138,7 +138,7 @@ class Model(vocab.SpanEncoder):
 
     def odd(self, b: np.ndarray, blank: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """A blank at the start would stand beside the text's own mark; the mark itself may be in a text."""
-        return [starts[blank[starts]], vocab.pairs(b, 0xE2, (0x96,)), *([] if self.parts_words else [starts])]
+        return [*super().odd(b, blank, starts), starts[blank[starts]], vocab.pairs(b, 0xE2, (0x96,)), *([] if self.parts_words else [starts])]
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_all([text.encode()])[0], self.dtype)

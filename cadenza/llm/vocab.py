@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -43,12 +44,24 @@ class Memo(dict):
         return value
 
 
+class Spans(NamedTuple):
+    """The words of texts that stand one after the other in the bytes ``b`` and end at ``ends``: their ends and entries, but for texts that must be taken ``whole``."""
+
+    b: np.ndarray
+    ends: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    entry: np.ndarray
+    whole: np.ndarray
+
+
 class SpanEncoder:
     """Ids of whole texts, from the ids of their words, for vocabularies whose ids never reach over a blank.
 
     A word is what starts at a text's start or at a space or line feed, with that blank. All words of a slice of texts
-    are hashed by array operations; each distinct word is encoded once, and ids are gathered from a table. Texts with
-    runs of blanks, with words over LONG bytes, or with what ``odd`` finds are encoded whole.
+    are hashed by array operations; each distinct word is encoded once, and ids are gathered from a table, whose
+    words are compared byte by byte with those of the texts: a text with a word that only has another's hash is encoded whole. So are texts with
+    runs of blanks, with words over LONG bytes, or with what ``odd`` finds.
     """
 
     #: Words that the table holds before it is emptied (about 30 bytes each).
@@ -68,44 +81,53 @@ class SpanEncoder:
         raise NotImplementedError
 
     def odd(self, b: np.ndarray, blank: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Places of bytes whose texts must be encoded whole; ``starts``: of the texts."""
-        return []
+        """Places of bytes whose texts must be encoded whole, in a list of arrays; ``starts``: of the texts."""
+        return [np.flatnonzero(blank[1:] & blank[:-1])]
 
     def _empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.used = 0
-
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = self.learn(words)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.ids, self.text = _Lists(self.dtype), _Lists(np.dtype(np.uint8))
+
+    def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(n) - n)
-        self.n = np.insert(self.n, where, n)
-        self.used += total
+        self.ids.insert(where, self.learn([w.decode() for w in words]))
+        self.text.insert(where, [np.frombuffer(w, np.uint8) for w in words])
 
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each of ``texts`` (UTF-8), as little-endian bytes of ``dtype``."""
+    def spans_of(self, texts: list[bytes]) -> Spans:
+        """The words of ``texts`` (UTF-8) with their entries in the table."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
-        if not len(ends) or not ends[-1]:
-            return [b""] * len(texts)
         data = b"".join(texts)
         b = np.frombuffer(data, np.uint8)
         blank = (b == 32) | (b == 10)
         new = blank.copy()
         new[(ends - sizes)[sizes > 0]] = True
         start = np.flatnonzero(new)
-        end = np.r_[start[1:], len(b)]
-        odd = np.concatenate([np.flatnonzero(blank[1:] & blank[:-1]), start[end - start > self.LONG], *self.odd(b, blank, (ends - sizes)[sizes > 0])])
-        whole = set(np.searchsorted(ends, odd, "right").tolist())
+        end = np.r_[start[1:], len(b)][: len(start)]
+        odd = np.concatenate([start[end - start > self.LONG], *self.odd(b, blank, (ends - sizes)[sizes > 0])])
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(ends, odd, "right")] = True
+        own = ~whole[np.searchsorted(ends, start, "right")]
+        start, end = start[own], end[own]
+        entry = self._entries(data, b, start, end) if len(start) else np.zeros(0, np.int64)
+        wrong = start[~self.text.equal(entry, b, start, end)]  # another word has the hash
+        whole[np.searchsorted(ends, wrong, "right")] = True
+        return Spans(b, ends, start, end, entry, whole)
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each of ``texts`` (UTF-8), as little-endian bytes of ``dtype``."""
+        own = self.spans_of(texts)
+        ids, until = self.ids.gather(own.entry)
+        stops = np.r_[0, until][np.searchsorted(own.start, own.ends)].tolist()
+        out, before = [], 0
+        for k, stop in enumerate(stops):
+            out.append(self.whole(texts[k].decode()) if own.whole[k] else ids[before:stop].tobytes())
+            before = stop
+        return out
+
+    def _entries(self, data: bytes, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The table's entry of each word, by its hash; words that the table lacks are learned."""
         keys, first, place = np.unique(wordhash.spans(b, start, end), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         lacking = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
@@ -113,18 +135,44 @@ class SpanEncoder:
             if len(self.keys) + len(lacking) > self.WORDS:
                 self._empty()
                 lacking = np.arange(len(keys))
-            self._add(keys[lacking], [data[x:y].decode() for x, y in zip(start[first[lacking]].tolist(), end[first[lacking]].tolist())])
+            self._add(keys[lacking], [data[x:y] for x, y in zip(start[first[lacking]].tolist(), end[first[lacking]].tolist())])
             at = np.searchsorted(self.keys, keys)
-        entry = at[place]
+        return at[place]
+
+
+class _Lists:
+    """Lists of numbers in one growing buffer."""
+
+    def __init__(self, dtype: np.dtype):
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+        self.at = self.n = np.zeros(0, np.int64)
+
+    def insert(self, where: np.ndarray, lists: list[np.ndarray]) -> None:
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(n.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.concatenate(lists)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(n) - n)
+        self.n = np.insert(self.n, where, n)
+        self.used += total
+
+    def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of the entries, one after the other, and where each ends."""
         n = self.n[entry]
         until = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[entry] - until + n, n) + np.arange(until[-1])]
-        stops = np.r_[0, until][np.searchsorted(start, ends)].tolist()
-        out, before = [], 0
-        for k, stop in enumerate(stops):
-            out.append(self.whole(texts[k].decode()) if k in whole else ids[before:stop].tobytes())
-            before = stop
-        return out
+        return self.flat[np.repeat(self.at[entry] - until + n, n) + np.arange(until[-1] if len(n) else 0)], until
+
+    def equal(self, entry: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each entry is the stretch of ``b`` from ``start`` to ``end``."""
+        same = self.n[entry] == end - start
+        entry, start, n = entry[same], start[same], (end - start)[same]
+        until = np.cumsum(n)
+        if len(n):
+            step = np.arange(until[-1]) - np.repeat(until - n, n)
+            differs = self.flat[np.repeat(self.at[entry], n) + step] != b[np.repeat(start, n) + step]
+            same[np.flatnonzero(same)[np.searchsorted(until, np.flatnonzero(differs), "right")]] = False
+        return same
 
 
 def pairs(b: np.ndarray, lead: int, after: tuple[int, ...]) -> np.ndarray:
@@ -158,7 +206,7 @@ class ByteLevelEncoder(SpanEncoder):
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def odd(self, b: np.ndarray, blank: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        return [np.flatnonzero(self._PLAIN[b]), *(pairs(b, *lead) for lead in self.leads)]
+        return [*super().odd(b, blank, starts), np.flatnonzero(self._PLAIN[b]), *(pairs(b, *lead) for lead in self.leads)]
 
     def learn(self, words: list[str]) -> list[np.ndarray]:
         ids: list[np.ndarray] = [None] * len(words)

@@ -1,4 +1,8 @@
-"""64-bit hashes of the words and word shingles of a text, by array operations on its bytes."""
+"""64-bit hashes of the words and word shingles of a text, by array operations on its bytes.
+
+Two sets of n shingles are mistaken for each other in part with a chance of n**2 / 2**64; where ids must be right, bytes are compared
+as well (``vocab.SpanEncoder``).
+"""
 
 from __future__ import annotations
 
@@ -18,21 +22,15 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-BYTES = _random(256, 1) | np.uint64(1)
-_BASE = 0x9DDFEA08EB382D69
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+_LANES = 1 << 12
+_KEYS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and BASE**-k for k < ``n``, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 17, n)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
+def _lane_keys(n: int) -> np.ndarray:
+    """A key for each place of eight bytes in a word."""
+    if len(_KEYS.get("lanes", ())) < n:
+        _KEYS["lanes"] = _random(max(_LANES, 1 << (n - 1).bit_length()), 7)
+    return _KEYS["lanes"]
 
 
 BLANK = np.zeros(256, bool)
@@ -43,22 +41,47 @@ NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 def words(data: bytes, blank: np.ndarray = BLANK) -> np.ndarray:
     """A hash of each word of ``data``: the longest runs of bytes that aren't ``blank``."""
-    if not data:
-        return np.zeros(0, np.uint64)
-    b = np.frombuffer(data, np.uint8)
+    return words_of([data], blank)[0]
+
+
+def words_of(texts: list[bytes], blank: np.ndarray = BLANK) -> list[np.ndarray]:
+    """The word hashes of each text, in one pass over all; a space must be a blank."""
+    b = np.frombuffer(b" ".join(texts), np.uint8)
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~blank[b]
     edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[::2], edges[1::2]
-    return spans(b, starts, ends)
+    hashes = spans(b, edges[::2], edges[1::2])
+    stops = np.searchsorted(edges[::2], np.cumsum([len(t) + 1 for t in texts])).tolist()
+    return [hashes[start:stop] for start, stop in zip([0, *stops], stops)]
+
+
+_LENGTH, _PAD = np.uint64(0xD6E8FEB86659FD93), np.zeros(8, np.uint8)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of the bytes ``b``."""
-    up, down = _powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTES[b] * up[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A hash of each span of the bytes ``b``.
+
+    Eight bytes at a time go through a mixer with a key of their place; the sum goes through it again with the length. Spans of up to
+    eight bytes never share a hash but by a chance of 2**-64; no structure of longer ones cancels, as it does in polynomials modulo 2**64.
+    """
+    n = ends - starts
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([b, _PAD])
+    eights = np.lib.stride_tricks.as_strided(padded.view(), (len(b) + 1, 8), (1, 1))
+    lanes = np.maximum((n + 7) >> 3, 1)
+    last = np.cumsum(lanes)
+    if last[-1] == len(n):
+        place, at, left = np.zeros(len(n), np.int64), starts, n
+    else:
+        place = np.arange(last[-1]) - np.repeat(last - lanes, lanes)
+        at, left = np.repeat(starts, lanes) + 8 * place, np.repeat(n, lanes) - 8 * place
+    word = eights[at].view(np.uint64).ravel() & _MASKS[np.minimum(left, 8)]
+    out = mix(word ^ _lane_keys(int(lanes.max()))[place])
+    if last[-1] != len(n):
+        out = np.add.reduceat(out, last - lanes)
+    return mix(out + n.astype(np.uint64) * _LENGTH)
 
 
 PLACES = _random(64, 2) | np.uint64(1)
