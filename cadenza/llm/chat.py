@@ -6,11 +6,12 @@ A turn is written ``### role: text</turn>`` and a line feed; in texts and roles
 A conversation becomes windows of at most BUDGET tokens. Prefix sums of the turns' tokens say how many whole turns fit.
 Every window starts with the system turn and a limited history (the last turns before it, HISTORY tokens and HISTORY_TURNS
 turns at most, none if the next turn wouldn't fit). Repeated turns are masked: each assistant text is a target
-in one window only. A turn longer than the budget has a window of its own.
+in one window only. A turn that with the system turn is longer than the budget has a window of its own, over the budget.
 
-Scale: a conversation is dealt out in blocks of BLOCK turn numbers, so a conversation that holds a third of all rows
-is formatted by many tasks. A block gets the system turn and the last turns of the block before it along with its own.
-Tasks read sorted rows and hold one window at a time. Only ``digests``, whose contract is one hash over a
+Scale: turns are numbered densely in two levels (within range partitions, then over the few conversations that go
+from one into the next) and dealt out in blocks of BLOCK turns, so a conversation that holds a third of all rows
+is formatted by many tasks, whatever its turn numbers are. A block gets the system turn and the last turns of the block before it along
+with its own. Tasks read sorted rows and hold one slice at a time. Only ``digests``, whose contract is one hash over a
 conversation's turns in order, reads a conversation in one task, as a stream.
 
 Nulls, empties, repeats: a null text or role is empty; null turns come first; rows with the same turn are ordered by role, then
@@ -24,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +80,8 @@ class _Windows:
 
     def _open(self, tokens: int) -> None:
         """Choose what the next window repeats, so that a turn of ``tokens`` still fits."""
-        room = self.budget - tokens
-        self.repeated = [self.system] if self.system and self.system[2] <= room else []
-        room = min(room - sum(t[2] for t in self.repeated), self.history)
+        self.repeated = [self.system] if self.system else []
+        room = min(self.budget - tokens - sum(t[2] for t in self.repeated), self.history)
         past = []
         for turn in reversed(self.tail):
             if turn[2] > room:
@@ -119,8 +120,10 @@ WINDOW = "conv_id long, block long, window long, text string, loss array<struct<
 def _emit_windows(file: str, budget: int, history: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, now, own, n, rows, starts = token_counts.counter(file), None, None, 0, [], False
-        for batch in common.slices(batches):
-            for conv, block, kind, role, text in zip(*(common.column(batch, c) for c in ("conv_id", "block", "kind", "role", "text"))):
+        for batch in common.slices(batches, most=1 << 20):
+            said = [written(role, text) for role, text in zip(common.column(batch, "role"), common.column(batch, "text"))]
+            tokens = [int(p[2][-1]) for p in counter.profiles([whole for whole, _ in said])]
+            for conv, block, kind, role, (whole, head), n_tokens in zip(*(common.column(batch, c) for c in ("conv_id", "block", "kind", "role")), said, tokens):
                 if now != (conv, block):
                     if own and own.fresh:
                         rows.append((*now, n, *own.close()))
@@ -128,9 +131,7 @@ def _emit_windows(file: str, budget: int, history: int):
                 if kind == -1:  # the block's first turn is the conversation's system turn
                     starts = True
                     continue
-                whole, head = written(role, text)
-                counts = counter.profile(whole)[2]
-                turn = whole, head, int(counts[-1])
+                turn = whole, head, n_tokens
                 if kind == 0:
                     own.system = turn
                 elif kind == 1:
@@ -151,23 +152,45 @@ def _emit_windows(file: str, budget: int, history: int):
     return run
 
 
+def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with their place in the part that this task has of their conversation."""
+    now, n = None, 0
+    for batch in batches:
+        places = np.zeros(batch.num_rows, np.int64)
+        for k, conv in enumerate(common.column(batch, "conv_id")):
+            if (conv,) != now:
+                now, n = (conv,), 0
+            places[k] = n
+            n += 1
+        yield batch.append_column("place", pa.array(places))
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """``turns`` (conv_id, turn, role, text) with their dense place in the conversation: by turn (null first), role, text."""
+    order = ["conv_id", F.col("turn").asc_nulls_first(), "role"]
+    dealt = turns.repartitionByRange(*order, F.substring("text", 1, 64)).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
+    dealt = common.materialize(dealt.mapInArrow(_emit_places, "conv_id long, turn long, role string, text string, part int, place long"), "turns")
+    parts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    longer = parts.groupBy("conv_id").agg(F.collect_list(F.struct("part", "n")).alias("parts")).where("size(parts) > 1")
+    before = F.aggregate(F.filter("parts", lambda x: x["part"] < F.col("p.part")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    offsets = longer.withColumn("p", F.explode("parts")).select(F.col("conv_id").alias("conv"), F.col("p.part").alias("of"), before.alias("before"))
+    found = dealt.join(F.broadcast(offsets), dealt["conv_id"].eqNullSafe(offsets["conv"]) & (F.col("part") == F.col("of")), "left")  # two rows a range partition at most
+    return found.select("conv_id", (F.col("place") + F.coalesce("before", F.lit(0))).alias("place"), "role", "text")
+
+
 def windows(turns: DataFrame, file: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Windows of ``turns`` (conv_id, turn, role, text)."""
-    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))).cast("long")
-    turns = turns.withColumn("block", block)
-    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("f"), F.min("block").alias("first"))
-    system = first.where("f.role = 'system'").select("conv_id", "f.turn", "f.role", "f.text", "first")
-    blocks = turns.select("conv_id", "block").distinct()
-    same = blocks["conv_id"].eqNullSafe(system["conv_id"])
-    kind = F.when(blocks["block"] == system["first"], -1).otherwise(0)
-    heads = blocks.join(system, same).select(blocks["conv_id"], blocks["block"], kind.alias("kind"), "turn", "role", "text")
-    late = F.pmod(F.col("turn"), F.lit(BLOCK)) >= BLOCK - HISTORY_TURNS
-    past = turns.where(late).select("conv_id", (F.col("block") + 1).alias("block"), F.lit(1).alias("kind"), "turn", "role", "text")
-    own = turns.select("conv_id", "block", F.lit(2).alias("kind"), "turn", "role", "text")
-    every = heads.unionByName(past).unionByName(own)
-    order = ["conv_id", "block", "kind", F.col("turn").asc_nulls_first(), "role", "text"]
-    return every.repartition("conv_id", "block").sortWithinPartitions(*order).select("conv_id", "block", "kind", "role", "text").mapInArrow(_emit_windows(file, budget, history), WINDOW)
+    turns = numbered(turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    turns = turns.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
+    system = turns.where("place = 0 and role = 'system'")
+    blocks = turns.where(F.col("place") % BLOCK == 0).select(F.col("conv_id").alias("conv"), F.col("block").alias("of"))
+    kind = F.when(F.col("of") == 0, -1).otherwise(0)
+    heads = blocks.join(system, blocks["conv"].eqNullSafe(system["conv_id"])).select("conv_id", F.col("of").alias("block"), kind.alias("kind"), "place", "role", "text")
+    past = turns.where(F.col("place") % BLOCK >= BLOCK - HISTORY_TURNS).select("conv_id", (F.col("block") + 1).alias("block"), F.lit(1).alias("kind"), "place", "role", "text")
+    own = turns.select("conv_id", "block", F.lit(2).alias("kind"), "place", "role", "text")
+    order = ["conv_id", "block", "kind", "place"]
+    every = heads.unionByName(past).unionByName(own).repartition("conv_id", "block").sortWithinPartitions(*order)
+    return every.select("conv_id", "block", "kind", "role", "text").mapInArrow(_emit_windows(file, budget, history), WINDOW)
 
 
 class _Digest:
