@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 
@@ -16,15 +18,8 @@ def build(keys: DataFrame, key: Column, n: int) -> np.ndarray:
     """Words of the filter of ``n`` long ``key`` values: 12 bits for each, within the bounds; two places of each key."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (12 * n).bit_length()))
     places = F.explode(F.array(key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1)))
-    words = (
-        keys.select(places.alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("at"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
-        .toArrow()
-    )
-    out = np.zeros(bits >> 6, np.int64)
-    out[words["at"].to_numpy()] = words["word"].to_numpy()
-    return out.view(np.uint64)
+    words = keys.select(places.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("value"))
+    return common.packed(words, bits >> 6, "int64").view(np.uint64)
 
 
 def may_have(words: np.ndarray, key: int) -> bool:

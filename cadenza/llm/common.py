@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,19 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def packed(df: DataFrame, n: int, dtype: str) -> np.ndarray:
+    """An array of ``n`` values from rows (at, value); 0 where there is no row. One task puts it together, so the driver gets its bytes alone; the caller bounds ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(n, dtype)
+        for batch in batches:
+            out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(dtype)
+        yield pa.record_batch({"data": pa.array([out.tobytes()], pa.binary())})
+
+    found = df.select("at", "value").repartition(1).mapInArrow(run, "data binary").collect()
+    return np.frombuffer(found[0][0], dtype) if found else np.zeros(n, dtype)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of at most SLICE_ROWS rows and about ``most`` bytes of ``column``."""
     for batch in batches:
@@ -89,7 +103,7 @@ def keep_rows(docs: DataFrame, text_col: str, test) -> DataFrame:
 
 
 def map_texts(docs: DataFrame, text_col: str, change, to: str | None = None, kind: str = "string") -> DataFrame:
-    """``docs`` with ``change`` of each text in its place (null stays null), or in a further column ``to`` of type ``kind`` (null: of the empty text)."""
+    """``docs`` with ``change`` of its texts (a list to a list) in their place (null stays null), or in a further column ``to`` of type ``kind`` (null: of the empty text)."""
     schema = T.StructType(list(docs.schema.fields))
     if to:
         schema = schema.add(to, kind)
@@ -98,12 +112,12 @@ def map_texts(docs: DataFrame, text_col: str, change, to: str | None = None, kin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             texts = column(part, text_col)
+            new = change([t or "" for t in texts])
             if to:
-                new = pa.array([change(t or "") for t in texts], made)
-                yield pa.RecordBatch.from_arrays([*part.columns, new], [*part.schema.names, to])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(new, made)], [*part.schema.names, to])
             else:
                 at = part.schema.get_field_index(text_col)
-                yield part.set_column(at, text_col, pa.array([None if t is None else change(t) for t in texts], pa.string()))
+                yield part.set_column(at, text_col, pa.array([None if t is None else n for t, n in zip(texts, new)], pa.string()))
 
     return docs.mapInArrow(run, schema)
 

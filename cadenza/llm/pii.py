@@ -399,4 +399,4 @@ def redact(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_c
     """``docs`` with the spans of its texts replaced; all columns stay, nulls stay null."""
     own = learn(common.id_text(docs, id_col=id_col, text_col=text_col), sample)
 
-    return common.map_texts(docs, text_col, lambda t: redacted(t, own.spans(t)[1]))
+    return common.map_texts(docs, text_col, lambda texts: [redacted(t, own.spans(t)[1]) for t in texts])

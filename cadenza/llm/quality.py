@@ -8,7 +8,7 @@
 3. Posterior: evidence plus the log-odds of the document's path, less the global log-odds.
 
 Nulls, empties, repeats: a null text is empty and has evidence from its bias alone; null hosts and paths are sites of their own
-(the empty name); repeated rows and labels count as often as they stand there; without labels of both kinds the evidence is 0
+(the empty name); repeated rows count as often as they stand there in the rates, once in the fit; without labels of both kinds the evidence is 0
 and everything is kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,6 +26,10 @@ from . import common, wordhash
 
 #: Labelled rows, at most, that the regression is fitted to: those with the least hash of their id.
 SAMPLE = 12_000
+#: Their distinct words, at most, together (4 bytes each in the task that fits).
+SAMPLE_WORDS = 16_000_000
+#: Words that a step of the regression takes at a time.
+BLOCK = 1_000_000
 BUCKETS = 1 << 18
 STEPS, RIDGE = 60, 1e-4
 THRESHOLD = 0.5
@@ -37,14 +41,14 @@ LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e9
 _CLASSES = [re.compile(p) for p in (r"[A-Z]", r"[a-z]", r"[0-9]", r"[!?]", r"[#$%&*|]", r"\n")]
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct words; shape ratios."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    kinds = np.bincount(_KIND[raw], minlength=7)
-    words = np.unique(wordhash.words(text.lower().encode(), wordhash.NOT_WORD))
-    every = max(1, len(raw))
-    shape = np.array([*(kinds[:6] / every), min(1.0, len(words) * 6 / every)])
-    return np.unique(words & np.uint64(BUCKETS - 1)).astype(np.int64), shape
+def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text: buckets of the distinct words; shape ratios."""
+    raws = [t.encode() for t in texts]
+    for raw, words in zip(raws, wordhash.words_of([t.lower().encode() for t in texts], wordhash.NOT_WORD)):
+        kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=7)
+        words, every = np.unique(words), max(1, len(raw))
+        shape = np.array([*(kinds[:6] / every), min(1.0, len(words) * 6 / every)])
+        yield np.unique(words & np.uint64(BUCKETS - 1)).astype("<u4"), shape
 
 
 _KIND = np.array([next((k for k, c in enumerate(_CLASSES) if b < 128 and c.match(chr(b))), 6) for b in range(256)])
@@ -57,26 +61,31 @@ class Evidence:
     def __init__(self, words: np.ndarray, shape: np.ndarray, bias: float):
         self.words, self.shape, self.bias = words, shape, bias
 
-    def of(self, text: str) -> float:
-        words, shape = features(text)
-        return float(np.clip(self.words[words].sum() + self.shape @ shape + self.bias, -30, 30))
+    def of(self, texts: list[str]) -> list[float]:
+        return [float(np.clip(self.words[words].sum(dtype=float) + self.shape @ shape + self.bias, -30, 30)) for words, shape in features(texts)]
 
 
 def fit(words: list[np.ndarray], shapes: np.ndarray, good: np.ndarray) -> Evidence:
-    """Ridge logistic regression by full-batch Adam; classes weigh the same in all."""
+    """Ridge logistic regression by full-batch Adam; classes weigh the same in all. Texts go through each step in blocks, so it takes little more memory than ``words``."""
     n = len(good)
     if not n or good.all() or not good.any():
         return Evidence(np.zeros(BUCKETS), np.zeros(N_SHAPE), 0.0)
-    ids = np.concatenate(words) if words else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(n), [len(w) for w in words])
+    sizes = np.array([len(w) for w in words])
+    bounds = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1).tolist(), n]
+    blocks = [(a, b, np.concatenate(words[a:b])) for a, b in zip(bounds, bounds[1:]) if b > a]
     shapes = np.hstack([shapes, np.ones((n, 1))])
     weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum())
     w, v = np.zeros(BUCKETS), np.zeros(N_SHAPE + 1)
     moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(v), np.zeros_like(v)]]
     for step in range(1, STEPS + 1):
-        score = np.bincount(rows, weights=w[ids], minlength=n) + shapes @ v
-        pull = weight * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - good)
-        for own, grad, (m, s), rate in ((w, np.bincount(ids, weights=pull[rows], minlength=BUCKETS) + RIDGE * w, moments[0], 0.05), (v, shapes.T @ pull + RIDGE * v, moments[1], 0.3)):
+        slope, tilt = RIDGE * w, RIDGE * v
+        for a, b, ids in blocks:
+            rows = np.repeat(np.arange(b - a), sizes[a:b])
+            score = np.bincount(rows, weights=w[ids], minlength=b - a) + shapes[a:b] @ v
+            pull = weight[a:b] * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - good[a:b])
+            slope += np.bincount(ids, weights=pull[rows], minlength=BUCKETS)
+            tilt += shapes[a:b].T @ pull
+        for own, grad, (m, s), rate in ((w, slope, moments[0], 0.05), (v, tilt, moments[1], 0.3)):
             m += 0.1 * (grad - m)
             s += 0.01 * (grad**2 - s)
             own -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
@@ -85,25 +94,49 @@ def fit(words: list[np.ndarray], shapes: np.ndarray, good: np.ndarray) -> Eviden
 
 def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches):
-        found = [features(t) for t in common.column(batch, "text")]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(batch.schema.get_field_index("good"))], ["words", "shape", "good"])
+        found = list(features(common.column(batch, "text")))
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in ("place", "doc_id", "good")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["place", "doc_id", "good", "words", "shape"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
-    """Fit to at most ``sample`` labelled rows; ``labels``: doc_id, quality, toxic."""
+def _emit_fit(most: int):
+    """One row with the weights of the first rows that have at most ``most`` words together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, shapes, good, held = [], [], [], 0
+        for batch in batches:
+            for w, shape, is_good in zip(*(common.column(batch, c) for c in ("words", "shape", "good"))):
+                held += len(w) // 4
+                if held <= most:
+                    words.append(np.frombuffer(w, "<u4"))
+                    shapes.append(shape)
+                    good.append(is_good)
+        own = fit(words, np.array(shapes, float).reshape(-1, N_SHAPE), np.array(good, bool))
+        yield pa.record_batch({"words": pa.array([own.words.astype("<f4").tobytes()], pa.binary()), "shape": pa.array([own.shape], pa.list_(pa.float64())), "bias": pa.array([own.bias], pa.float64())})
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_WORDS) -> Evidence:
+    """Fit to at most ``sample`` labelled ids with at most ``most`` distinct words together; ``labels``: doc_id, quality, toxic.
+
+    An id is good if all its labels say so; of rows that repeat an id, one counts. Features are made where texts lie and packed, one task fits
+    the weights, and the driver gets these alone.
+    """
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    some = labels.where("doc_id is not null").select("doc_id", good.alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "good").limit(2 * sample)
-    found = rows.mapInArrow(_emit_features, "words array<long>, shape array<double>, good boolean").toArrow()
-    words = [np.asarray(w.values) for w in found["words"]]
-    shapes = np.array(found["shape"].to_pylist(), float).reshape(-1, N_SHAPE)
-    return fit(words, shapes, np.array(found["good"].to_pylist(), bool))
+    some = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(good).alias("good")).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("place", "doc_id", "good", "text")
+    found = rows.mapInArrow(_emit_features, "place long, doc_id long, good boolean, words binary, shape array<double>").groupBy("place", "doc_id").agg(F.min(F.struct("words", "shape", "good")).alias("x"))
+    found = found.repartition(1).sortWithinPartitions("place", "doc_id").select("x.*").mapInArrow(_emit_fit(most), "words binary, shape array<double>, bias double").collect()
+    if not found:
+        return Evidence(np.zeros(BUCKETS), np.zeros(N_SHAPE), 0.0)
+    return Evidence(np.frombuffer(found[0]["words"], "<f4"), np.array(found[0]["shape"]), found[0]["bias"])
 
 
 def _emit_evidence(own: Evidence):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            scores = pa.array([own.of(t) for t in common.column(batch, "text")], pa.float64())
+            scores = pa.array(own.of(common.column(batch, "text")), pa.float64())
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "host", "path")]
             yield pa.RecordBatch.from_arrays([*kept, scores], ["doc_id", "host", "path", "evidence"])
 
