@@ -14,7 +14,7 @@ free one to the first observed one with its key (to the first, if none is observ
 occurrences and evidence doesn't fade from repeat to repeat. Loopy message passing, run until messages settle, makes
 labels of such nodes agree; a free node whose marginal for an entity label is at least SURE becomes a span.
 
-Weights are learned piecewise from all nodes of at most SAMPLE documents (least hash of the id), labelled by the base patterns and, for
+Weights are learned piecewise from all nodes of at most SAMPLE documents (least hash of the id; one text an id), labelled by the base patterns and, for
 secrets, by a cue with a long token after it.
 
 Nulls, empties, repeats: a null or empty text has no spans; rows repeat as they are; null ids are kept; an empty table gives an
@@ -52,6 +52,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_RUNS = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++")
+_STOP = re.compile(r"\.(?![A-Za-z0-9])")
 _IN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EDGE = frozenset(" \t\r\n\"'<>()[]{},;:=|\u00a0")
 _TRIM = ".,!?*#$%&-_"
@@ -193,8 +195,7 @@ def graph(text: str) -> list[tuple[int, int, int, tuple | None]]:
     numbers = {(a, b): k for (a, b), k in _numbers(text, known).items() if observed(b - 1) <= a}
     within = _reach(sorted(numbers))
     free = [*numbers, *((a, b) for a, b in tokens if len(_digits(text[a:b])) >= 7 or within(a) < b)]
-    for local in {n[3][1] for n in nodes if n[0] == 0 and len(n[3][1]) >= 5 and re.search(r"[._0-9]", n[3][1])}:
-        free += [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9._%+@-]){re.escape(local)}(?![A-Za-z0-9_%+@-]|\.[A-Za-z0-9])", text, re.I)]
+    free += _repeats(text, {n[3][1] for n in nodes if n[0] == 0 and len(n[3][1]) >= 5 and re.search(r"[._0-9]", n[3][1])})
     at = 0
     for a, b in sorted(set(free)):
         while at < len(taken) and taken[at][1] <= a:
@@ -206,6 +207,18 @@ def graph(text: str) -> list[tuple[int, int, int, tuple | None]]:
     return sorted(nodes, key=lambda n: (n[1], n[2], n[0]))
 
 
+def _repeats(text: str, locals_: set[str]) -> Iterator[tuple[int, int]]:
+    """Where one of ``locals_`` stands by itself, in any case: from the start of a run of such characters to its end, or to a stop with no letter or digit after it."""
+    longest = max(map(len, locals_), default=0)
+    for m in _RUNS.finditer(text) if locals_ else ():
+        start, end = m.span()
+        ends = [end] if text[end : end + 1] != "@" else []
+        ends += [start + k.start() for k in _STOP.finditer(text[start : min(end, start + longest + 1) + 1]) if start + k.start() < end]
+        for stop in ends:
+            if stop - start <= longest and text[start:stop].lower() in locals_:
+                yield start, stop
+
+
 def _reach(spans: list[tuple[int, int]]):
     """Of sorted spans: the furthest end of those that start at or before a place."""
     starts, ends = [a for a, _ in spans], [0, *accumulate((b for _, b in spans), max)]
@@ -343,7 +356,7 @@ def _emit_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """The field learned from at most ``sample`` of ``docs`` (doc_id, text); texts stay in their tasks."""
     some = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = docs.join(F.broadcast(some.distinct()), "doc_id", "left_semi").select("text").limit(2 * sample)
+    found = docs.join(F.broadcast(some.distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     return _fitted(found.mapInArrow(_emit_examples, "x array<long>, y array<long>, times array<long>, near array<long>, far array<long>").toArrow())
 
 
