@@ -1,12 +1,12 @@
 """Language ID by a bit-sliced Bloom filter of n-grams.
 
-Each slot of the filter holds a bit for each language: the languages' filters side by side. The slots of an
-n-gram, joined by AND, are the mask of all languages that have it. A text's n-grams are counted by language (popcounts
+Each slot of the filter holds a bit for each language, in as many 64-bit words as there are languages for: the languages' filters side
+by side. The slots of an n-gram, joined by AND, are the mask of all languages that have it. A text's n-grams are counted by language (popcounts
 of the bit slices), the counts are corrected for what the filter's fill gives by chance, and the greatest decides.
 
 An n-gram is three letters in lower case, with one blank for each run of what is no letter. A language has an
-n-gram if its share of the language's n-grams is at least SHARE and at least RATIO of its greatest share in any
-language. So a language has at most 1 / SHARE n-grams, however large the corpus; counts are over all rows
+n-gram if that is at least SHARE of all its n-grams. So a language has at most 1 / SHARE n-grams, however large the corpus, and
+the filter has BITS slots for each n-gram that any language has, so its fill stays the same for any number of languages. Counts are over all rows
 that may be learned from, summed in tasks first and then in Spark.
 
 Nulls, empties, repeats: a text that is null or has no letter is ``und`` with score 0, and so is all if there is nothing
@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-SHARE, RATIO = 1e-5, 0.3
-SLOTS, PLACES = 1 << 20, 3
+SHARE = 1e-5
+#: Slots for each n-gram (at least; their number is a power of two), and places of an n-gram among them.
+BITS, PLACES = 16, 3
 NONE = "und"
 #: Distinct n-grams that a task holds before it passes its counts on.
 HELD = 1_000_000
+#: N-grams of a text that are looked up at a time.
+STEP = 1 << 16
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -49,7 +52,7 @@ def ngrams(text: str) -> np.ndarray:
     return codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
 
 
-def slots(codes: np.ndarray, n: int = SLOTS) -> list[np.ndarray]:
+def slots(codes: np.ndarray, n: int) -> list[np.ndarray]:
     return [(wordhash.mix(codes.astype(np.uint64) ^ np.uint64(seed)) & np.uint64(n - 1)).astype(np.int64) for seed in _SEEDS[:PLACES]]
 
 
@@ -82,14 +85,21 @@ def _emit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """Languages by bit, and the slots' masks."""
+    """Languages by bit, and the slots' masks: a row a slot, a column for 64 languages."""
 
     def __init__(self, langs: list[str], masks: np.ndarray):
         self.langs, self.masks = langs, masks
-        self.chance = np.array([float((masks >> np.uint64(b) & np.uint64(1)).mean()) ** PLACES for b in range(len(langs))])
+        self.chance = self.popcounts(masks) / max(1, len(masks)) if langs else np.zeros(0)
+        self.chance **= PLACES
+
+    def popcounts(self, held: np.ndarray) -> np.ndarray:
+        """For each language, the rows that have its bit."""
+        bits = np.arange(64, dtype=np.uint64)
+        each = [(held[:, w : w + 1] >> bits[: len(self.langs) - 64 * w] & np.uint64(1)).sum(axis=0) for w in range(held.shape[1])]
+        return np.concatenate(each).astype(float)
 
     def holding(self, codes: np.ndarray) -> np.ndarray:
-        """Mask of the languages that have each n-gram."""
+        """Masks of the languages that have each n-gram."""
         out = None
         for s in slots(codes, len(self.masks)):
             out = self.masks[s] if out is None else out & self.masks[s]
@@ -99,31 +109,28 @@ class Filter:
         codes = ngrams(text)
         if not len(codes) or not self.langs:
             return NONE, 0.0
-        held = self.holding(codes)
-        counts = np.array([float((held >> np.uint64(b) & np.uint64(1)).sum()) for b in range(len(self.langs))])
+        counts = sum(self.popcounts(self.holding(codes[at : at + STEP])) for at in range(0, len(codes), STEP))
         fair = np.maximum(0.0, (counts - len(codes) * self.chance) / np.maximum(1e-9, 1 - self.chance))
         best = int(np.argmax(fair))
         return self.langs[best], float(fair[best] / fair.sum()) if fair.sum() > 0 else 0.0
 
 
-def learn(rows: DataFrame, share: float = SHARE, ratio: float = RATIO, n_slots: int = SLOTS) -> Filter:
-    """The filter of ``rows`` (lang, text); null languages are left out. At most 63 languages: their number, not the corpus, sets the width."""
+def learn(rows: DataFrame, share: float = SHARE) -> Filter:
+    """The filter of ``rows`` (lang, text); null languages are left out. The driver gets at most 1 / ``share`` n-grams a language."""
     counts = common.materialize(rows.where("lang is not null").mapInArrow(_emit_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngram-counts")
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).limit(64).collect()}
-    langs = sorted(totals)
-    if len(langs) > 63:
-        raise ValueError("more than 63 languages")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()
+    langs = [r["lang"] for r in totals]
     if not langs:
-        return Filter([], np.zeros(n_slots, np.uint64))
-    total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(totals[lang]))])[F.col("lang")]
-    bit = F.create_map(*[F.lit(x) for b, lang in enumerate(langs) for x in (lang, 1 << b)])[F.col("lang")].cast("long")
-    shares = counts.select("code", (F.col("n") / total).alias("share"), bit.alias("bit")).where(F.col("share") >= share)
-    masks = shares.groupBy("code").agg(F.max("share").alias("most"), F.collect_list(F.struct("share", "bit")).alias("own"))
-    masks = masks.select("code", F.aggregate(F.filter("own", lambda x: x["share"] >= ratio * F.col("most")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"])).alias("mask"))
-    found = masks.toArrow()  # at most 63 / share rows
-    out, codes, mask = np.zeros(n_slots, np.uint64), found["code"].to_numpy(), found["mask"].to_numpy().view(np.uint64)
-    for s in slots(codes, n_slots):
-        np.bitwise_or.at(out, s, mask)
+        return Filter([], np.zeros((1, 1), np.uint64))
+    places = [(r["lang"], r["total"], k >> 6, 1 << (k & 63) if (k & 63) < 63 else -(1 << 63)) for k, r in enumerate(totals)]
+    places = rows.sparkSession.createDataFrame(places, "lang string, total long, word int, bit long")
+    held = counts.join(F.broadcast(places), "lang").where(F.col("n") >= share * F.col("total"))
+    found = held.groupBy("code", "word").agg(F.bit_or("bit").alias("mask")).toArrow()
+    codes, word, mask = found["code"].to_numpy(), found["word"].to_numpy(), found["mask"].to_numpy().view(np.uint64)
+    n = 1 << max(6, (BITS * len(np.unique(codes)) - 1).bit_length())
+    out = np.zeros((n, -(-len(langs) // 64)), np.uint64)
+    for s in slots(codes, n):
+        np.bitwise_or.at(out, (s, word), mask)
     return Filter(langs, out)
 
 
