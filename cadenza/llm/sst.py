@@ -19,6 +19,8 @@ partition, encoded in the same task that writes the shard, and written under a n
 renamed; a repeated task writes the same file. Ids before each shard are summed over the shards' manifest,
 which has one row a shard.
 
+Shards are made of at most SHARD_BYTES of text on average. A reader holds one block at a time.
+
 Nulls, empties, repeats: a null or empty text has the end id only; null ids come first; repeated ids are
 kept, ordered by text; an empty table gives no shard and an empty result; other columns are ignored.
 """
@@ -28,6 +30,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +46,7 @@ BLOCK = 64 << 10
 BITS_PER_KEY, PLACES = 10, 7
 MAGIC = b"CDZSST01"
 FOOTER = struct.Struct("<QQQQQQI8s")
-#: Text bytes, at most, that a shard should hold when the number of shards isn't given.
+#: Text bytes that a shard holds on average, at most, when the number of shards isn't given.
 SHARD_BYTES = 128 << 20
 
 
@@ -89,7 +92,7 @@ class Writer:
 
         self.out, self.width, self.at = out, width, 0
         self.zip = zstandard.ZstdCompressor(level=1)
-        self.block, self.held, self.last, self.index, self.keys = [], 0, b"", [], []
+        self.block, self.held, self.last, self.index, self.keys = [], 0, b"", [], array("Q")
         self.n_entries = self.n_ids = 0
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -208,10 +211,19 @@ class Reader:
 
 
 def _files(uri: str):
-    """(file system, path in it) of a path that Spark names."""
+    """(file system, path in it) of a path with its scheme, as ``qualified`` gives it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark reads it by, so that executors open the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def open_shard(uri: str) -> Reader:
@@ -248,8 +260,10 @@ MANIFEST = "shard long, path string, n_docs long, n_ids long"
 def write_shards(docs: DataFrame, folder: str, file: str, end_id: int, n_shards: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write shards to ``folder``; the manifest, one row a shard, with the ids before each (``start``)."""
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     if n_shards is None:
-        n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        n_bytes = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES), 1)
     tie = F.xxhash64("text")
     dealt = docs.withColumn("tie", tie).repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first(), "tie")
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -261,12 +275,14 @@ def write_shards(docs: DataFrame, folder: str, file: str, end_id: int, n_shards:
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, path, start in zip(common.column(batch, "shard"), common.column(batch, "path"), common.column(batch, "start")):
-            reader, rows = open_shard(path), []
-            for key, value in reader:
-                ids = np.frombuffer(value, f"<u{reader.width}")
-                rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), shard))
-                start += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+            reader = open_shard(path)
+            for k in range(len(reader.index)):
+                rows = []
+                for key, value in reader.block(k):
+                    ids = np.frombuffer(value, f"<u{reader.width}")
+                    rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), shard))
+                    start += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
