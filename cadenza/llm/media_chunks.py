@@ -200,7 +200,8 @@ def _emit_features(keep: tuple[str, ...]):
 def read_media(media: DataFrame, chunks: DataFrame) -> DataFrame:
     """A row for each row of ``media``: features of the payload as read back from the store.
 
-    The stored form of a medium is its recipe followed by the bytes of its chunks in order.
+    media_bytes and media_sha256 are of the medium as it is exported: its recipe followed by the bytes of its chunks in order. The store itself
+    holds the bytes of shared chunks once.
     """
     alone = media.where("size(shared) = 0").select("doc_id", "n_bytes", "media_id", "recipe", "inline")
     alone = alone.mapInArrow(_emit_features(("doc_id", "n_bytes")), f"doc_id long, n_bytes long, {FEATURES}")
@@ -212,9 +213,9 @@ def read_media(media: DataFrame, chunks: DataFrame) -> DataFrame:
         .groupBy("media_id")
         .agg(F.collect_list(F.struct("digest", "bytes")).alias("parts"))
     )
-    whole = distinct.select("media_id", "recipe", "inline").join(parts, "media_id")
+    whole = distinct.select("media_id", "recipe", "inline").join(parts, "media_id", "left")  # without its chunks a medium is damaged, not gone
     whole = whole.mapInArrow(_emit_features(("media_id",)), f"media_id binary, {FEATURES}")
-    return alone.unionByName(mixed.select("doc_id", "n_bytes", "media_id").join(whole, "media_id").drop("media_id"))
+    return alone.unionByName(mixed.select("doc_id", "n_bytes", "media_id").join(whole, "media_id", "left").drop("media_id"))
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
