@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 _OWN: dict[str, str] = {}
 
 #: Rows and bytes of text that a Python kernel holds as Python objects at a time.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,11 +93,11 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 
 def keep_rows(docs: DataFrame, text_col: str, test) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text (null: empty) passes ``test``; a slice of rows is held at a time."""
+    """The rows of ``docs``, all columns, whose texts (null: empty) pass ``test`` (a list to a list); a slice of rows is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            yield part.filter(pa.array([bool(test(t or "")) for t in column(part, text_col)], pa.bool_()))
+            yield part.filter(pa.array(test([t or "" for t in column(part, text_col)]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -327,7 +327,7 @@ def test_tiling_against_brute_force():
         cut = rng.randint(0, len(words))
         text = " ".join(words[cut:] + [rng.choice("abcxyz") for _ in range(rng.randint(0, 5))] + words[:cut])
         index = decontaminate.Index([(1, item)], 3)
-        got = list(decontaminate.covering(index, text, 0.0))
+        got = list(decontaminate.covering(index, decontaminate.hashes(text), 0.0))
         assert sum(g[2] for g in got) == brute_cover(text, item, 3)
 
 
