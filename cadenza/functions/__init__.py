@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def half_up_div(a: Column, b: Column) -> Column:
     """The integer nearest to a / b, halves up, for a >= 0, b > 0: in integers, so it never rounds a float."""
-    return F.floor((2 * a + b) / (2 * b)).cast("long")
+    return F.call_function("div", 2 * a + b, 2 * b).cast("long")
 
 
 def half_up(x: Column) -> Column:
@@ -95,7 +95,7 @@ def byte_range(header: Column, size: Column) -> Column:
 
 
 def is_slug(x: Column) -> Column:
-    return F.coalesce(x.rlike("^[a-z0-9-]+$"), F.lit(False))
+    return F.coalesce(x.rlike(r"\A[a-z0-9-]+\z"), F.lit(False))
 
 
 def outside_box(x: Column, y: Column, cx: Column, cy: Column, half_x: Column, half_y: Column, angle: Column, radius: Column) -> Column:

@@ -115,6 +115,12 @@ def _bounds(rows: DataFrame, side: str, share: float, pad: int) -> DataFrame:
     return out.select("ep", F.greatest(F.col("a") - pad, "low").alias("start"), F.least(F.col("b") + 2 + pad, "high").alias("end"))
 
 
+def active_interval(energy: DataFrame, share: float = 0.005, pad: int = 3) -> DataFrame:
+    """ep, start, end of one arm's activity (ep, i, e), whatever the other arm does; episodes without energy have no row."""
+    n = F.count("*").over(EP())
+    return _bounds(energy.withColumns({"low": F.lit(0).cast("long"), "high": n}), "e", share, pad)
+
+
 def segments(both: DataFrame, share: float = 0.005, pad: int = 3, least: int = 30, most_cross: float = 0.1) -> DataFrame:
     """Left and right activity segments before and after the split, shares of energy on the wrong side, and ``rejected``.
 

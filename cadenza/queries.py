@@ -370,15 +370,6 @@ def wait_masks(spark, d):
     return rows.select("ep", "f", ((F.col("v") == 50) | clocks.required_wait(left, F.col("f"), 50.0, 10) & (F.col("v") < 50)).alias("required"), must.alias("must"), excess.alias("excess"))
 
 
-def _peaks(spark, d):
-    return user_frames(spark, d).groupBy("ep").agg(F.lit(0).cast("long").alias("start"), (F.floor(F.count("*") / 2)).cast("long").alias("peak"), (F.count("*") - 1).alias("stop"))
-
-
-@query()
-def lift_clock(spark, d):
-    return clocks.lift_clock(_peaks(spark, d), 30.0)
-
-
 # ---- joins of events and frames
 
 IV = f"iv AS (SELECT ep, event_id AS id, f AS grasp, f + 2 + event_id % 5 AS release FROM s WHERE kind = 'purchase')"
@@ -801,4 +792,4 @@ def ranked_peaks(spark, d):
     return solvers.ranked_peaks(rows.select("ep", "f", F.col("v").alias("height"), F.abs(series.gradient(F.col("v"))).alias("speed")).fillna(0.0, ["speed"]), 20.0)
 
 
-from . import review_queries as _more  # noqa: E402, F401
+from . import plan_queries, review_queries  # noqa: E402, F401

@@ -108,8 +108,9 @@ def publish(df: DataFrame, path: str, *partition: str) -> None:
     old = f"{path}.old-{uuid.uuid4().hex[:8]}"
     new, here, before = (jvm.org.apache.hadoop.fs.Path(p) for p in (stage, path, old))
     had = files.exists(here)
-    if had:
-        files.rename(here, before)
+    if had and not files.rename(here, before):
+        files.delete(new, True)
+        raise OSError(f"what is at {path} could not be moved away")
     if not files.rename(new, here):
         if had:
             files.rename(before, here)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _instant(events: DataFrame, ts: str) -> Column:
+    """The column as a timestamp; one without a zone is read as UTC, whatever the session's zone is."""
+    at = F.col(ts)
+    if events.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return at.cast("timestamp")
+    return F.make_timestamp_ltz(F.year(at), F.month(at), F.day(at), F.hour(at), F.minute(at), F.extract(F.lit("SECOND"), at), F.lit("UTC"))
+
+
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of each key, batch or stream: start, end, n. NTZ times are read as UTC, as a watermark needs timestamps."""
-    at = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    at = events.withColumn("_ts", _instant(events, ts))
     if events.isStreaming:
         at = at.withWatermark("_ts", late)
     out = at.groupBy(F.col(key), F.session_window("_ts", gap).alias("w")).agg(F.count("*").alias("n"))
@@ -17,7 +25,7 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late
 
 def tumbling(events: DataFrame, ts: str, width: str, *keys: str, value: str = "value", late: str = "1 hour") -> DataFrame:
     """Counts and sums by window of ``width``, batch or stream."""
-    at = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    at = events.withColumn("_ts", _instant(events, ts))
     if events.isStreaming:
         at = at.withWatermark("_ts", late)
     out = at.groupBy(F.window("_ts", width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
@@ -30,15 +38,19 @@ def pending(episodes: DataFrame, receipts: DataFrame, key: str = "ep", digest: s
 
 
 def ingest(spark: SparkSession, source: str, schema, process, receipts: str, checkpoint: str):
-    """Runs ``process`` on each micro-batch of new files and appends its receipts (ep, sha256); a batch that repeats finds its receipts and does nothing."""
+    """Runs ``process`` on each micro-batch of new files and writes its receipts (ep, sha256), a folder for each batch.
+
+    A batch that repeats after its receipts were written does nothing. One that failed before is processed again and replaces its own receipts, so ``process``
+    must be one that may run twice.
+    """
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         try:
             done = spark.read.parquet(receipts)
             df = pending(df, done)
         except Exception as e:  # the first batch has no receipts
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        process(df).select("ep", "sha256").write.mode("append").parquet(receipts)
+        process(df).select("ep", "sha256").write.mode("overwrite").parquet(f"{receipts}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
