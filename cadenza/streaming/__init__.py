@@ -38,19 +38,19 @@ def pending(episodes: DataFrame, receipts: DataFrame, key: str = "ep", digest: s
 
 
 def ingest(spark: SparkSession, source: str, schema, process, receipts: str, checkpoint: str):
-    """Runs ``process`` on each micro-batch of new files and writes its receipts (ep, sha256), a folder for each batch.
+    """Runs ``process`` on each micro-batch of new files and appends its receipts (ep, sha256) when it is done.
 
-    A batch that repeats after its receipts were written does nothing. One that failed before is processed again and replaces its own receipts, so ``process``
-    must be one that may run twice.
+    Episodes with a receipt are left out, so a batch that repeats after its receipts were written does nothing. One that failed before is processed again:
+    ``process`` must be one that may run twice.
     """
 
-    def batch(df: DataFrame, number: int) -> None:
+    def batch(df: DataFrame, _: int) -> None:
         try:
             done = spark.read.parquet(receipts)
             df = pending(df, done)
         except Exception as e:  # the first batch has no receipts
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        process(df).select("ep", "sha256").write.mode("overwrite").parquet(f"{receipts}/batch={number}")
+        process(df).select("ep", "sha256").write.mode("append").parquet(receipts)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
