@@ -90,6 +90,14 @@ def energy(rows: DataFrame, step: Column, kernel: int = 7, floor: float = 0.08)
     return edges.withColumn("e", F.greatest(smooth - floor, F.lit(0.0))).select("ep", (F.col("f") - 1).alias("i"), "e")
 
 
+def energies(rows: DataFrame, kernel: int = 7, floor: float = 0.08, **steps: Column) -> DataFrame:
+    """ep, i and the energy of each of ``steps`` on the edge before frame i + 1, as ``energy`` has it: one window for all."""
+    half = kernel // 2
+    edges = rows.withColumns({f"_{c}": step for c, step in steps.items()}).where(F.col("f") > 0)
+    smooth = [F.greatest(F.sum(f"_{c}").over(rows_between(-half, half)) / kernel - floor, F.lit(0.0)).alias(c) for c in steps]
+    return edges.select("ep", (F.col("f") - 1).alias("i"), *smooth)
+
+
 def energy_split(both: DataFrame, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """Per episode the cut with the least energy on the wrong sides: right's share before it plus left's share from it on; earliest wins.
 
@@ -124,17 +132,27 @@ def active_interval(energy: DataFrame, share: float = 0.005, pad: int = 3) -> Da
 def segments(both: DataFrame, share: float = 0.005, pad: int = 3, least: int = 30, most_cross: float = 0.1) -> DataFrame:
     """Left and right activity segments before and after the split, shares of energy on the wrong side, and ``rejected``.
 
-    Overlapping segments are parted at the middle.
+    Overlapping segments are parted at the middle. All is windows and one aggregate over the episode, so the edges are shuffled once.
     """
-    cut = energy_split(both).select("ep", "split", "n")
-    joined = both.join(cut, "ep")
-    left = _bounds(joined.withColumns({"low": F.lit(0).cast("long"), "high": F.col("split")}), "left", share, pad).toDF("ep", "ls", "le")
-    right = _bounds(joined.withColumns({"low": F.col("split"), "high": F.col("n")}), "right", share, pad).toDF("ep", "rs", "re")
+    w, past = EP().orderBy("i"), Window.unboundedPreceding
+    total = {c: F.sum(c).over(EP()) for c in ("left", "right")}
+    before, after = F.sum("right").over(w.rowsBetween(past, -1)) / total["right"], F.sum("left").over(w.rowsBetween(0, Window.unboundedFollowing)) / total["left"]
+    rows = both.select("ep", "i", "left", "right", F.count("*").over(EP()).alias("n"), F.round(before + after, 9).alias("_cost"))
+    inside = (F.col("i") >= F.greatest(F.lit(1), X.half_even(F.col("n") * 0.2))) & (F.col("i") < F.least(F.col("n") - 1, X.half_even(F.col("n") * 0.8)))
+    rows = rows.withColumn("split", F.min(F.when(inside & F.col("_cost").isNotNull(), F.struct("_cost", "i"))).over(EP())["i"]).where("split is not null")
+    own = F.when(F.col("i") < F.col("split"), F.col("left")).otherwise(F.col("right"))
+    half = Window.partitionBy("ep", F.col("i") < F.col("split"))
+    rows = rows.withColumn("_own", own).withColumns({"_cum": F.sum("_own").over(half.orderBy("i").rowsBetween(past, 0)), "_all": F.sum("_own").over(half)})
+    first = F.col("i") < F.col("split")
+    reach = lambda q, side: F.min(F.when(side & (F.col("_all") > 0) & (F.round(F.col("_cum") - q * F.col("_all"), 9) >= 0), F.col("i")))
     wrong = lambda side, cond: F.sum(F.when(cond, F.col(side)).otherwise(0.0)) / F.sum(side)
-    cross = joined.groupBy("ep", "split").agg(wrong("right", F.col("i") < F.col("split")).alias("right_before"), wrong("left", F.col("i") >= F.col("split")).alias("left_after"))
-    out = left.join(right, "ep").join(cross, "ep")
-    middle = F.floor((F.col("le") + F.col("rs")) / 2).cast("long")
-    overlap = F.col("le") > F.col("rs")
+    out = rows.groupBy("ep", "split", "n").agg(
+        reach(share, first).alias("la"), reach(1 - share, first).alias("lb"), reach(share, ~first).alias("ra"), reach(1 - share, ~first).alias("rb"),
+        wrong("right", first).alias("right_before"), wrong("left", ~first).alias("left_after"),
+    ).where("la is not null and ra is not null")
+    zero = F.lit(0).cast("long")
+    out = out.withColumns({"ls": F.greatest(F.col("la") - pad, zero), "le": F.least(F.col("lb") + 2 + pad, F.col("split")), "rs": F.greatest(F.col("ra") - pad, F.col("split")), "re": F.least(F.col("rb") + 2 + pad, F.col("n"))})
+    middle, overlap = F.floor((F.col("le") + F.col("rs")) / 2).cast("long"), F.col("le") > F.col("rs")
     out = out.withColumns({"le": F.when(overlap, middle).otherwise(F.col("le")), "rs": F.when(overlap, middle).otherwise(F.col("rs"))})
     rejected = (F.greatest("right_before", "left_after") > most_cross) | (F.least(F.col("le") - F.col("ls"), F.col("re") - F.col("rs")) < least)
     return out.select("ep", "split", "ls", "le", "rs", "re", "right_before", "left_after", rejected.alias("rejected"))

@@ -164,8 +164,7 @@ def _sides(spark, d):
     n = F.count("*").over(series.EP())
     rows = rows.withColumns({"l": F.when(F.col("f") * 2 < n, F.col("v")).otherwise(0.0), "r": F.when(F.col("f") * 2 >= n, F.col("v")).otherwise(0.0)})
     step = lambda c: F.abs(F.col(c) - F.lag(c).over(series.ORDER()))
-    left = series.energy(rows, step("l")).withColumnRenamed("e", "left")
-    return left.join(series.energy(rows, step("r")).withColumnRenamed("e", "right"), ["ep", "i"])
+    return series.energies(rows, left=step("l"), right=step("r"))
 
 
 SIDES = f"""{S}, b AS (SELECT *, count(*) OVER (PARTITION BY ep) AS n FROM s), lr AS (SELECT ep, f, CASE WHEN f * 2 < n THEN v ELSE 0 END AS l, CASE WHEN f * 2 >= n THEN v ELSE 0 END AS r FROM b),
