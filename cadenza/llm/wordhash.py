@@ -47,12 +47,18 @@ def words(data: bytes, blank: np.ndarray = BLANK) -> np.ndarray:
 def words_of(texts: list[bytes], blank: np.ndarray = BLANK) -> list[np.ndarray]:
     """The word hashes of each text, in one pass over all; a space must be a blank."""
     b = np.frombuffer(b" ".join(texts), np.uint8)
+    starts, ends = bounds(b, blank)
+    hashes = spans(b, starts, ends)
+    stops = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+    return [hashes[start:stop] for start, stop in zip([0, *stops], stops)]
+
+
+def bounds(b: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of the bytes ``b``."""
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~blank[b]
     edges = np.flatnonzero(np.diff(inside))
-    hashes = spans(b, edges[::2], edges[1::2])
-    stops = np.searchsorted(edges[::2], np.cumsum([len(t) + 1 for t in texts])).tolist()
-    return [hashes[start:stop] for start, stop in zip([0, *stops], stops)]
+    return edges[::2], edges[1::2]
 
 
 _LENGTH, _PAD = np.uint64(0xD6E8FEB86659FD93), np.zeros(8, np.uint8)

@@ -347,7 +347,7 @@ def test_decontamination(spark, docs, odd, none):
     assert decontaminate.find(moved, spark.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id long, text string")).first().n_tiles == 2
 
 
-def brute_groups(df):
+def brute_groups(df, percent=85):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     rows = [(r.doc_id, (r.text or "").translate(low)) for r in df.collect()]
     sets = []
@@ -363,7 +363,7 @@ def brute_groups(df):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -424,7 +424,7 @@ def test_pipeline(spark, docs):
     out = {r.doc_id: r for r in C.run(spark, D).collect()}
     labels, bench = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("labels", "benchmark"))
     step = common.materialize(quality.keep(docs, labels), "t")
-    groups = {d for d, _, _, kept in brute_groups(step) if kept}
+    groups = {d for d, _, _, kept in brute_groups(step, percent=80) if kept}
     leaks = {r.doc_id for r in decontaminate.find(step, bench).collect()}
     assert set(out) == groups - leaks
     m = pieces.model(PIECES)
