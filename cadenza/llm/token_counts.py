@@ -50,7 +50,8 @@ class WordTable:
         self.longest = max(map(len, self.vocab))
         marked = [t.removesuffix(self.mark) for t in self.vocab if self.mark and t.endswith(self.mark)]
         plain = [t for t in self.vocab if not (self.mark and t.endswith(self.mark))]
-        self.tails = {mark: {t[k:] for t in tokens for k in range(len(t))} for mark, tokens in ((self.mark, marked or plain), ("", plain))}
+        #: For tokens with the mark (left out here) and without: whether an end of a token is a token itself.
+        self.tails = {mark: {t[k:]: False for t in tokens for k in range(len(t))} | dict.fromkeys(tokens, True) for mark, tokens in ((self.mark, marked or plain), ("", plain))}
         self.apart = vocab.Memo(self._apart)
         self._counts = vocab.Memo(self._count)
 
@@ -75,9 +76,24 @@ class WordTable:
         return self.merge((self._symbols(a) if a else []) + self._symbols(b)) == ([a, b] if a else [b])
 
     def _count(self, word: str) -> int:
-        own = Word(self)
-        own.push(word)
-        return own.count()
+        """Tokens of a whole word: as ``Word`` has them, in one loop."""
+        n, apart, mark = len(word), self.apart, self.mark
+        last, counts, tails = [None] * (n + 1), [0] * (n + 1), self.tails[""]
+        for end in range(1, n + 1):
+            if end == n:
+                tails = self.tails[mark]
+            for start in range(end - 1, -1, -1):
+                own = word[start:end]
+                is_token = tails.get(own)
+                if is_token is None:
+                    break
+                if is_token and (start == 0 or last[start] is not None):
+                    if end == n:
+                        own += mark
+                    if apart[last[start], own]:
+                        last[end], counts[end] = own, counts[start] + 1
+                        break
+        return counts[n]
 
     def count(self, word: str) -> int:
         return self._counts[word] if len(word) <= self.KEPT else self._count(word)
@@ -91,12 +107,13 @@ class Word:
 
     def _token(self, tail: str, n: int, mark: str) -> tuple[str | None, int]:
         """The one token that can end at place ``n``."""
-        tails, known, last = self.table.tails[mark], self.table.vocab, self.last
+        tails, last = self.table.tails[mark], self.last
         for k in range(1, len(tail) + 1):
             own = tail[-k:]
-            if own not in tails:
+            is_token = tails.get(own)
+            if is_token is None:
                 break
-            if own + mark in known and (k == n or last[n - k] is not None) and self.table.apart[last[n - k], own + mark]:
+            if is_token and (k == n or last[n - k] is not None) and self.table.apart[last[n - k], own + mark]:
                 return own + mark, self.counts[n - k] + 1
         return None, 0
 
@@ -190,6 +207,7 @@ class Scan:
 
 
 class Counter(vocab.SpanEncoder):
+    WORDS = 2_000_000
     CHUNK = re.compile(f"[^{SPACE}]*[{SPACE}]+|[^{SPACE}]+")
     LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
     BLANKS = re.compile(f"[{SPACE}]+")
@@ -205,6 +223,8 @@ class Counter(vocab.SpanEncoder):
         self.visible = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
 
     def symbols(self, text: str) -> str:
+        if text.isascii() and text.isprintable() and " " not in text:
+            return text
         return text.encode().decode("latin-1").translate(self.visible)
 
     def library(self, text: str) -> int:
@@ -215,7 +235,7 @@ class Counter(vocab.SpanEncoder):
         return []
 
     def learn(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array([self.count(w)], self.dtype) for w in words]
+        return list(np.array([self._chunk(w[1:] if w[0] in " \n" else w) if not self.BLANKS.search(w, 1) else self.count(w) for w in words], self.dtype)[:, None])
 
     def count(self, text: str) -> int:
         return sum(map(self._chunk, self.BLANKS.split(text)))
