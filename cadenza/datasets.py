@@ -160,7 +160,7 @@ def _gathered(rows: DataFrame, clock: DataFrame, vectors: list[str]) -> DataFram
     left = rows.select("ep", F.col("f").alias("left_src"), *half("left", 1))
     right = rows.select("ep", F.col("f").alias("right_src"), *half("right", ARM + 1))
     out = clock.join(left, ["ep", "left_src"]).join(right, ["ep", "right_src"])
-    return out.select(*clock.columns, *[F.concat(F.col(f"`_left_{v}`"), F.col(f"`_right_{v}`")).alias(v) for v in vectors])
+    return out.select(*[F.col(f"`{c}`") for c in clock.columns], *[F.concat(F.col(f"`_left_{v}`"), F.col(f"`_right_{v}`")).alias(v) for v in vectors])
 
 
 def retime_dataset(spark: SparkSession, source: str, output: str, outputs: int, least: int = 30) -> dict:

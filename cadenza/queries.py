@@ -791,4 +791,4 @@ def ranked_peaks(spark, d):
     return solvers.ranked_peaks(rows.select("ep", "f", F.col("v").alias("height"), F.abs(series.gradient(F.col("v"))).alias("speed")).fillna(0.0, ["speed"]), 20.0)
 
 
-from . import plan_queries, review_queries  # noqa: E402, F401
+from . import dataset_queries, plan_queries, review_queries  # noqa: E402, F401
