@@ -565,9 +565,13 @@ def _candidates(spark, d):
     return rows.select("ep", (F.col("event_id") % 4).alias("object"), side.alias("side"), F.col("f").alias("grasp"), (F.col("f") + 1).alias("pickup"), (F.col("f") + 3).alias("release"), F.col("v").alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, x AS (SELECT ep, event_id % 4 AS object, CASE WHEN kind = 'click' THEN 'left' ELSE 'right' END AS side, f AS grasp, f + 1 AS pickup, f + 3 AS release, v AS score FROM s WHERE kind IN ('purchase', 'click')),
+c AS (SELECT *, row_number() OVER (PARTITION BY ep, object ORDER BY score DESC, pickup, release) AS rn, count(*) OVER (PARTITION BY ep, object) AS n FROM x),
+g(ep, object, rn, n, kept) AS (SELECT DISTINCT ep, object, 0::BIGINT, n, []::STRUCT(side VARCHAR, grasp BIGINT, pickup BIGINT, release BIGINT, score DOUBLE)[] FROM c
+  UNION ALL SELECT g.ep, g.object, c.rn, g.n, CASE WHEN len(kept) < 6 AND len(list_filter(kept, lambda k: k.side = c.side AND abs(k.pickup - c.pickup) < 8 AND abs(k.release - c.release) < 8)) = 0 THEN list_append(kept, {{'side': c.side, 'grasp': c.grasp, 'pickup': c.pickup, 'release': c.release, 'score': c.score}}) ELSE kept END FROM g JOIN c ON c.ep = g.ep AND c.object = g.object AND c.rn = g.rn + 1),
+u AS (SELECT ep, object, unnest(kept) AS k FROM g WHERE rn = n) SELECT ep, object, k.side AS side, k.grasp AS grasp, k.pickup AS pickup, k.release AS release, k.score AS score FROM u""")
 def top6_diverse(spark, d):
-    return solvers.top_diverse(_candidates(spark, d), FPS * 0.5)
+    return solvers.top_diverse(_candidates(spark, d), FPS * 4)
 
 
 @query()
@@ -770,11 +774,24 @@ def held_grasps(spark, d):
     return evidence.held_grasps(rows, pickups, 10.0)
 
 
-@query()
+def _rounds() -> str:
+    """Three rounds of a fit, each with the medians of its residuals."""
+    out = ""
+    for k in range(3):
+        out += f""", a{k} AS (SELECT user_id, count(x) FILTER (keep) >= 50 AND coalesce(stddev_pop(x) FILTER (keep) >= 5, false) AS good, regr_slope(y, x) FILTER (keep) AS sa, regr_intercept(y, x) FILTER (keep) AS sb FROM r{k} GROUP BY 1),
+b{k} AS (SELECT r{k}.user_id, id, x, y, keep, fit AND good AS fit, CASE WHEN fit AND good THEN sa ELSE gain END AS gain, CASE WHEN fit AND good THEN sb ELSE shift END AS shift FROM r{k} JOIN a{k} USING (user_id)), c{k} AS (SELECT *, y - (gain * x + shift) AS res FROM b{k}),
+d{k} AS (SELECT user_id, quantile_cont(res, 0.5) FILTER (keep) AS mid FROM c{k} GROUP BY 1), e{k} AS (SELECT c{k}.*, abs(res - mid) AS away FROM c{k} JOIN d{k} USING (user_id)), f{k} AS (SELECT user_id, quantile_cont(away, 0.5) FILTER (keep) AS mad FROM e{k} GROUP BY 1),
+r{k + 1} AS (SELECT e{k}.user_id, id, x, y, keep AND (NOT fit OR coalesce(away < greatest(5, 3 * mad), false)) AS keep, gain, shift, fit FROM e{k} JOIN f{k} USING (user_id))"""
+    return out
+
+
+@query(f"""WITH r0 AS (SELECT user_id, event_id AS id, x, y, least(x, y) > 5 AND greatest(x, y) < 250 AS keep, 1.0::DOUBLE AS gain, 0.0::DOUBLE AS shift, true AS fit FROM (SELECT *, value AS x, value * 1.1 + event_id % 7 + CASE WHEN event_id % 13 = 0 THEN 60.0 ELSE 0.0 END AS y FROM events)){_rounds()}
+SELECT user_id, round(least(greatest(max(gain), 0.65), 1.5), 6) AS gain, round(least(greatest(max(shift), -50), 50), 5) AS "offset" FROM r3 GROUP BY 1""")
 def robust_line_fit(spark, d):
     v, i = F.col("value"), F.col("event_id")
     y = v * 1.1 + i % 7 + F.when(i % 13 == 0, 60.0).otherwise(0.0)
-    return evidence.robust_line(table(spark, d, "events").select("user_id", v.alias("x"), y.alias("y")), "user_id")
+    out = evidence.robust_line(table(spark, d, "events").select("user_id", v.alias("x"), y.alias("y")), "user_id")
+    return out.select("user_id", F.round("gain", 6).alias("gain"), F.round("offset", 5).alias("offset"))
 
 
 @query()
@@ -785,7 +802,10 @@ def assigned_pairs(spark, d):
     return solvers.assignments(a.join(b, "ep").select("ep", "a", "b", (F.abs(F.col("va") - F.col("vb")) / 10).alias("cost")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, h AS (SELECT ep, f, v AS height, coalesce(abs(coalesce((lead(v) OVER {W} - lag(v) OVER {W}) / 2, lead(v) OVER {W} - v, v - lag(v) OVER {W})), 0) AS speed FROM s),
+z AS (SELECT ep, list({{'speed': speed, 'f': f, 'height': height}}) AS l FROM h GROUP BY ep),
+g(ep, place, f, l) AS (SELECT ep, -1::BIGINT, -1::BIGINT, l FROM z UNION ALL SELECT ep, place + 1, b.f, list_filter(l, lambda x: x.f <> b.f) FROM (SELECT ep, place, l, list_sort(list_filter(l, lambda x: x.height >= list_max(list_transform(l, lambda y: y.height)) - 20))[1] AS b FROM g WHERE len(l) > 0))
+SELECT ep, f, place FROM g WHERE place >= 0""")
 def ranked_peaks(spark, d):
     rows = user_frames(spark, d)
     return solvers.ranked_peaks(rows.select("ep", "f", F.col("v").alias("height"), F.abs(series.gradient(F.col("v"))).alias("speed")).fillna(0.0, ["speed"]), 20.0)
