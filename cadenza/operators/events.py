@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def interval_frames(frames: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Frames within half-open intervals (ep, start, end): a row for each pair."""
-    return frames.join(intervals, "ep").where((F.col("f") >= F.col("start")) & (F.col("f") < F.col("end")))
+    """Frames within half-open intervals (ep, start, end): a row for each pair. Intervals are dealt out to their frames, which meet by equality: no pair is made that isn't kept."""
+    spans = intervals.where("start < end")
+    return frames.join(spans.withColumn("f", F.explode(F.sequence(F.col("start"), F.col("end") - 1))), ["ep", "f"])
 
 
 def asof_before(events: DataFrame, marks: DataFrame) -> DataFrame:
@@ -25,11 +26,14 @@ def asof_after(events: DataFrame, marks: DataFrame) -> DataFrame:
     return both.withColumn("mark", F.last("_m", True).over(w)).where("_kind = 1").drop("_kind", "_m")
 
 
-def overlapping(intervals: DataFrame, key: str = "ep") -> DataFrame:
-    """Pairs a < b of closed intervals (key, id, grasp, release) that overlap."""
-    a = intervals.select(key, F.col("id").alias("a"), F.col("grasp").alias("a_grasp"), F.col("release").alias("a_release"))
-    b = intervals.select(key, F.col("id").alias("b"), F.col("grasp").alias("b_grasp"), F.col("release").alias("b_release"))
-    return a.join(b, key).where((F.col("a") < F.col("b")) & ~((F.col("a_release") < F.col("b_grasp")) | (F.col("b_release") < F.col("a_grasp"))))
+def overlapping(intervals: DataFrame, key: str = "ep", bin_frames: int = 64) -> DataFrame:
+    """Pairs a < b of closed intervals (key, id, grasp, release) that overlap. Intervals meet in the bins of ``bin_frames`` frames that they touch, and a pair counts in the first bin of both."""
+    low, high = (F.floor(F.col(c) / bin_frames).cast("long") for c in ("grasp", "release"))
+    dealt = intervals.where("grasp <= release").select(key, "id", "grasp", "release", low.alias("_low"), F.explode(F.sequence(low, high)).alias("_bin"))
+    a = dealt.select(key, "_bin", F.col("id").alias("a"), F.col("grasp").alias("a_grasp"), F.col("release").alias("a_release"), F.col("_low").alias("_a"))
+    b = dealt.select(key, "_bin", F.col("id").alias("b"), F.col("grasp").alias("b_grasp"), F.col("release").alias("b_release"), F.col("_low").alias("_b"))
+    both = a.join(b, [key, "_bin"]).where((F.col("a") < F.col("b")) & (F.col("_bin") == F.greatest("_a", "_b")) & (F.col("a_release") >= F.col("b_grasp")) & (F.col("b_release") >= F.col("a_grasp")))
+    return both.drop("_bin", "_a", "_b")
 
 
 def pair_support(tracks: DataFrame, most: float, least_share: float = 0.4) -> DataFrame:
@@ -55,6 +59,14 @@ def object_state(t: Column, grasp: Column, pickup: Column, release: Column, sett
     )
 
 
+def state_spans(marks: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The states of each object (ep, id, grasp, pickup, release) over its whole episode (ep, n), as half-open intervals; a state without a frame has no row."""
+    zero, n, r = F.lit(0).cast("long"), F.col("n"), F.col("release")
+    cuts = (("AT_ORIGIN", zero, F.col("grasp")), ("GRASPING", F.col("grasp"), F.col("pickup")), ("HELD", F.col("pickup"), r), ("RELEASING", r, r + 1), ("PLACED", r + 1, n))
+    spans = F.array(*[F.struct(F.lit(s).alias("state"), F.greatest(a, zero).alias("start"), F.least(b, n).alias("end")) for s, a, b in cuts])
+    return marks.join(lengths.select("ep", "n"), "ep").select("ep", "id", F.inline(spans)).where("start < end")
+
+
 def carried(t: Column, pickup: Column, release: Column) -> Column:
     return (t >= pickup) & (t < release)
 
@@ -99,8 +111,7 @@ def boundaries(events: DataFrame, stops: DataFrame, last: DataFrame) -> DataFram
     """
     w = Window.partitionBy("ep").orderBy("pickup")
     own = events.join(last.select("ep", "n"), "ep").withColumns({"_floor": F.coalesce(F.lag("release").over(w) + 1, F.lit(0).cast("long")), "_ceil": F.coalesce(F.lead("grasp").over(w), F.col("n") - 1)})
-    joined = own.join(stops.select("ep", F.col("start").alias("_s"), F.col("end").alias("_e")), "ep", "left")
-    before = F.max(F.when((F.col("_e") >= F.col("_floor")) & (F.col("_e") < F.col("grasp")), F.col("_e")))
-    after = F.min(F.when((F.col("_s") > F.col("release")) & (F.col("_s") <= F.col("_ceil")), F.col("_s")))
-    out = joined.groupBy("ep", "id", "grasp", "pickup", "release", "_floor", "_ceil").agg(before.alias("b"), after.alias("a"))
-    return out.select("ep", "id", "grasp", "pickup", "release", F.coalesce("b", "_floor").alias("approach"), F.coalesce("a", "_ceil").alias("retract"))
+    own = asof_before(own.withColumn("f", F.col("grasp") - 1), stops.select("ep", F.col("end").alias("m"))).withColumnRenamed("mark", "_b")
+    own = asof_after(own.withColumn("f", F.col("release")), stops.select("ep", F.col("start").alias("m"))).withColumnRenamed("mark", "_a")
+    before, after = F.when(F.col("_b") >= F.col("_floor"), F.col("_b")), F.when(F.col("_a") <= F.col("_ceil"), F.col("_a"))
+    return own.select("ep", "id", "grasp", "pickup", "release", F.coalesce(before, "_floor").alias("approach"), F.coalesce(after, "_ceil").alias("retract"))

@@ -72,11 +72,12 @@ def static_edges(rows: DataFrame, fps: float, tail_seconds: float) -> DataFrame:
 def trimmed(rows: DataFrame, edges: DataFrame, fps: float) -> DataFrame:
     """Rows in [start, stop) with new episode ranks, frame numbers, global index and timestamps.
 
-    One row an episode is summed for the offsets; rows only join it on ep.
+    Offsets are sums over one row an episode, in two levels; rows only join them on ep.
     """
     kept = edges.select("ep", "start", "stop", (F.col("stop") - F.col("start")).alias("length"))
-    place = Window.orderBy("ep")
-    kept = kept.withColumns({"new_ep": (F.row_number().over(place) - 1).cast("long"), "offset": F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, -1))})
+    places = global_offsets(kept.select("ep", F.col("length").alias("n"))).select("ep", F.col("from").alias("offset"))
+    ranks = global_offsets(kept.select("ep", F.lit(1).cast("long").alias("n"))).select("ep", F.col("from").alias("new_ep"))
+    kept = kept.join(places, "ep").join(ranks, "ep")
     joined = rows.join(kept, "ep").where((F.col("f") >= F.col("start")) & (F.col("f") < F.col("stop")))
     new = F.col("f") - F.col("start")
     return joined.withColumns({"new_f": new, "index": F.coalesce("offset", F.lit(0)) + new, "timestamp": new / fps}).drop("start", "stop", "length", "offset")
@@ -267,8 +268,20 @@ def forward_share(flag: Column, window: int) -> Column:
     return F.avg(flag.cast("double")).over(rows_between(0, window - 1))
 
 
+#: Episode numbers that are summed together before the sums themselves are.
+EPISODES = 1 << 16
+
+
 def global_offsets(lengths: DataFrame) -> DataFrame:
-    """``lengths`` (ep, n) with the global range [from, to) of each episode."""
-    w = Window.orderBy("ep")
-    to = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return lengths.select("ep", "n", (to - F.col("n")).alias("from"), to.alias("to"))
+    """``lengths`` (ep, n) with the global range [from, to) of each episode, in the order of ep.
+
+    In two levels: running sums within ranges of EPISODES numbers, each a task of its own, and over the few sums of these ranges.
+    """
+    part = F.floor(F.col("ep") / EPISODES).cast("long")
+    rows = lengths.select("ep", "n", part.alias("_part"))
+    sums = rows.groupBy(F.col("_part").alias("_of")).agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum("n").over(Window.partitionBy("_part").orderBy("ep").rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.withColumn("_own", own).join(sums.select("_of", before.alias("_before")), F.col("_part") == F.col("_of"))
+    to = F.col("_before") + F.col("_own")
+    return both.select("ep", "n", (to - F.col("n")).alias("from"), to.alias("to"))

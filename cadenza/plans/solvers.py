@@ -1,13 +1,19 @@
-"""Grouped-map solvers. Each takes one episode (or one small decision) at a time; groups are independent."""
+"""Solvers of one episode, or one small decision, at a time; groups are independent.
+
+Nulls aren't expected in keys and frames; a group without candidates, cells or frames has no row; ties are broken as each docstring says; an empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def shortest_schedule(n: int, m: int, safe: Callable[[int, int, int, int], bool], gate: Callable[[int, int], bool] = lambda i, j: True, left_priority: bool = True) -> list[tuple[int, int]] | None:
@@ -39,16 +45,72 @@ def shortest_schedule(n: int, m: int, safe: Callable[[int, int, int, int], bool]
     return None
 
 
+def wave(ok: np.ndarray, left_waits: np.ndarray | None = None, right_waits: np.ndarray | None = None) -> np.ndarray:
+    """Output frames, at least, from (0, 0) to each state (i, j) of two clocks; -1 where none leads. ``ok``: states that may be entered.
+
+    Each frame, both advance or one does while the other waits, where it may (``left_waits``, ``right_waits``: by state; everywhere if None). All states that are
+    as far are one boolean array, so a grid takes as many array steps as its longest way.
+    """
+    n, m = ok.shape
+    far = np.full((n, m), -1, np.int32)
+    front = np.zeros((n, m), bool)
+    front[0, 0] = ok[0, 0]
+    for steps in range(n + m):
+        if not front.any():
+            break
+        far[front] = steps
+        new = np.zeros((n, m), bool)
+        new[1:, 1:] |= front[:-1, :-1]
+        new[1:, :] |= (front if right_waits is None else front & right_waits)[:-1, :]
+        new[:, 1:] |= (front if left_waits is None else front & left_waits)[:, :-1]
+        front = new & ok & (far < 0)
+    return far
+
+
+def shortest_path(ok: np.ndarray, left_waits: np.ndarray | None = None, right_waits: np.ndarray | None = None, prefer: str = "left") -> tuple[list[tuple[int, int]] | None, str | None]:
+    """(a shortest path over ``wave``, None) or (None, why there is none). Of equal ways both clocks advance where they can, and the ``prefer``-red side waits later."""
+    n, m = ok.shape
+    if not ok[0, 0] or not ok[-1, -1]:
+        return None, "start" if not ok[0, 0] else "end"
+    far = wave(ok, left_waits, right_waits)
+    if far[-1, -1] < 0:
+        return None, "no path"
+    path = [(n - 1, m - 1)]
+    while path[-1] != (0, 0):
+        i, j = path[-1]
+        one, other = (i, j - 1, left_waits), (i - 1, j, right_waits)
+        for a, b, may in ((i - 1, j - 1, None), *((one, other) if prefer == "left" else (other, one))):
+            if a >= 0 and b >= 0 and far[a, b] == far[i, j] - 1 and (may is None or may[a, b]):
+                path.append((a, b))
+                break
+    return path[::-1], None
+
+
+def _packed(rows: list[tuple], *kinds: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+
+
 def schedules(cells: DataFrame) -> DataFrame:
-    """Per ep of ``cells`` (ep, n, m, i, j, blocked): the steps of the shortest schedule that enters no blocked cell, or infeasible."""
+    """Per ep of ``cells`` (ep, n, m, i, j, blocked): the steps of the shortest schedule that enters no blocked cell, or why there is none (start, end, no path).
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(pdf.n.iloc[0]), int(pdf.m.iloc[0])
-        bad = set(zip(pdf.i[pdf.blocked], pdf.j[pdf.blocked]))
-        path = shortest_schedule(n, m, lambda i, j, a, b: (a, b) not in bad, left_priority=False) if (0, 0) not in bad else None
-        return pd.DataFrame({"ep": [pdf.ep.iloc[0]], "feasible": [path is not None], "steps": [len(path) - 1 if path else None]}).astype({"steps": "Int64"})
+    Only blocked cells travel, as one array an episode; many episodes go through a task's Arrow batch.
+    """
+    bad = F.when(F.col("blocked"), F.col("i") * F.col("m") + F.col("j"))
+    grids = cells.groupBy("ep").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.collect_list(bad).alias("bad"))
 
-    return cells.groupBy("ep").applyInPandas(solve, "ep long, feasible boolean, steps long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for ep, n, m, blocked in zip(*(c.to_pylist() for c in batch.columns)):
+                ok = np.ones(n * m, bool)
+                ok[blocked] = False
+                ok = ok.reshape(n, m)
+                far = wave(ok)[-1, -1]
+                why = None if far >= 0 else "start" if not ok[0, 0] else "end" if not ok[-1, -1] else "no path"
+                rows.append((ep, far >= 0, int(far) if far >= 0 else None, why))
+            yield _packed(rows, pa.int64(), pa.bool_(), pa.int64(), pa.string(), names=["ep", "feasible", "steps", "why"])
+
+    return grids.select("ep", F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m"), "bad").mapInArrow(run, "ep long, feasible boolean, steps long, why string")
 
 
 def static_spans(values: np.ndarray, limits: np.ndarray, intervals: Iterable[tuple[int, int]], least: int, guard: int) -> np.ndarray:
@@ -67,14 +129,18 @@ def static_spans(values: np.ndarray, limits: np.ndarray, intervals: Iterable[tup
 
 
 def kept_frames(frames: DataFrame, limit: float, least: int, guard: int) -> DataFrame:
-    """Per ep of ``frames`` (ep, f, v): frames that stay when static spans are shortened."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("f")
-        kept = static_spans(pdf[["v"]].to_numpy(float), np.array([limit]), [(0, len(pdf))], least, guard)
-        return pdf.iloc[kept][["ep", "f"]]
-
-    return frames.select("ep", "f", "v").groupBy("ep").applyInPandas(solve, "ep long, f long")
+    """Per ep of ``frames`` (ep, f, v): frames that stay when static spans are shortened. An episode is one array."""
+    tracks = frames.groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("t"))
+    tracks = tracks.select("ep", F.transform("t", lambda x: x["f"]).alias("f"), F.transform("t", lambda x: x["v"]).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ep, f, v in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                values = np.asarray(v.values, float)
+                kept = static_spans(values[:, None], np.array([limit]), [(0, len(values))], least, guard)
+                yield pa.record_batch({"ep": np.full(len(kept), ep, np.int64), "f": np.asarray(f.values, np.int64)[kept]})
+
+    return tracks.mapInArrow(run, "ep long, f long")
 
 
 def diverse(candidates: list[dict], apart: float, most: int = 6) -> list[dict]:

@@ -413,10 +413,12 @@ def pair_support(spark, d):
     return events.pair_support(tracks, 2.5).withColumn("p95", F.round("p95", 9))
 
 
-@query(f"WITH {S}, {IV} SELECT iv.ep, id, f, CASE WHEN f < grasp THEN 'AT_ORIGIN' WHEN f < grasp + 1 THEN 'GRASPING' WHEN f < release THEN 'HELD' WHEN f = release THEN 'RELEASING' ELSE 'PLACED' END AS state FROM iv JOIN s USING (ep) WHERE f BETWEEN grasp - 1 AND release + 1")
+@query(f"""WITH {S}, {IV}, n AS (SELECT ep, count(*) AS n FROM s GROUP BY ep), st AS (SELECT iv.ep, id, f, CASE WHEN f < grasp THEN 'AT_ORIGIN' WHEN f < grasp + 1 THEN 'GRASPING' WHEN f < release THEN 'HELD' WHEN f = release THEN 'RELEASING' ELSE 'PLACED' END AS state FROM iv JOIN s USING (ep))
+SELECT ep, id, state, min(f) AS start, max(f) + 1 AS "end" FROM st GROUP BY 1, 2, 3""")
 def object_states(spark, d):
-    joined = user_frames(spark, d).select("ep", "f").join(_intervals(spark, d), "ep").where(F.col("f").between(F.col("grasp") - 1, F.col("release") + 1))
-    return joined.select("ep", "id", "f", events.object_state(F.col("f"), F.col("grasp"), F.col("grasp") + 1, F.col("release")).alias("state"))
+    """The state of every object at every frame, as one interval for each state."""
+    marks = _intervals(spark, d).withColumn("pickup", F.col("grasp") + 1)
+    return events.state_spans(marks, user_frames(spark, d).groupBy("ep").agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {S} SELECT ep, f, (v <= 40 OR f >= 5) AND (f < 20 OR v >= 60) AS admitted FROM s")
@@ -588,7 +590,7 @@ def _cells(spark, d):
 
 @query(f"""WITH RECURSIVE {S}, n AS (SELECT ep, count(*) // 4 AS n FROM s GROUP BY ep), c AS (SELECT ep, f // 4 AS i, f % 4 AS j, v < 1 AS bad, n FROM s JOIN n USING (ep) WHERE f // 4 < n), ok AS (SELECT * FROM c WHERE NOT bad),
 w(ep, i, j, k) AS (SELECT ep, i, j, 0 FROM ok WHERE i = 0 AND j = 0 UNION SELECT w.ep, ok.i, ok.j, w.k + 1 FROM w JOIN ok ON ok.ep = w.ep AND ok.i - w.i BETWEEN 0 AND 1 AND ok.j - w.j BETWEEN 0 AND 1 AND (ok.i, ok.j) <> (w.i, w.j)),
-g AS (SELECT ep, min(k) AS steps FROM w JOIN n USING (ep) WHERE i = n - 1 AND j = 3 GROUP BY ep) SELECT n.ep, g.steps IS NOT NULL AS feasible, g.steps::BIGINT AS steps FROM n LEFT JOIN g USING (ep) WHERE n > 0""")
+g AS (SELECT ep, min(k) AS steps FROM w JOIN n USING (ep) WHERE i = n - 1 AND j = 3 GROUP BY ep) SELECT n.ep, g.steps IS NOT NULL AS feasible, g.steps::BIGINT AS steps, CASE WHEN g.steps IS NOT NULL THEN NULL WHEN max(CASE WHEN i = 0 AND j = 0 THEN bad::INT END) = 1 THEN 'start' WHEN max(CASE WHEN i = n.n - 1 AND j = 3 THEN bad::INT END) = 1 THEN 'end' ELSE 'no path' END AS why FROM n JOIN c ON c.ep = n.ep LEFT JOIN g ON g.ep = n.ep GROUP BY n.ep, n.n, g.steps""")
 def min_wait_schedule(spark, d):
     return solvers.schedules(_cells(spark, d))
 
