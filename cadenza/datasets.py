@@ -87,7 +87,7 @@ def _written(spark: SparkSession, stage: str, rows: DataFrame, episodes: DataFra
     total = offsets.agg(F.count("*").alias("episodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("frames")).first()
     found = {}
     for v in vectors:
-        by_channel = sorted(stats.vector_stats(made, v, quantiles=False).collect(), key=lambda r: r["pos"])
+        by_channel = sorted(stats.vector_stats(made, f"`{v}`", quantiles=False).collect(), key=lambda r: r["pos"])
         found[v] = {k: [r[k] for r in by_channel] for k in ("min", "max", "mean", "std")} | {"count": [by_channel[0]["count"]]} if by_channel else {}
     put_json(spark, f"{stage}/meta/stats.json", found)
     put_json(spark, f"{stage}/meta/info.json", meta | {"total_episodes": total["episodes"], "total_frames": total["frames"], "total_tasks": tasks.count(), "data_path": "data/*.parquet"})

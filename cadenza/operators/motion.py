@@ -54,6 +54,7 @@ def bin_visits(track: DataFrame, visits: DataFrame, fps: float, most_step: float
     (none: no visit); ``release`` the end of the last pause inside (median of 5 steps below ``most_step``), else its last frame.
     """
     inside = _seen("x", "y") & (F.col("x") > F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y") > F.col("top")) & (F.col("y") < F.col("bottom"))
+    track, visits = track.select("ep", "f", "x", "y"), visits.select("ep", "pickup", "stop", "left", "right", "top", "bottom")
     rows = track.join(visits, "ep").select("ep", "f", "stop", "x", "y", _seen("x", "y").alias("seen"), F.coalesce(inside, F.lit(False)).alias("near"), (F.col("f") >= F.col("pickup") + 3).alias("late"))
     runs = series.islands(rows, F.col("near") & F.col("late") & (F.col("f") < F.col("stop")), max(3, round(fps * 0.15))).where("flag")
     first = runs.groupBy("ep").agg(F.min(F.struct("start", "end")).alias("r")).select("ep", F.col("r.start").alias("entry"), F.col("r.end").alias("leaves"))
@@ -75,6 +76,7 @@ def observed_returns(track: DataFrame, drawers: DataFrame, fps: float, least: fl
     and is followed within 2 s by a sight below 0.3 with little interior left, without rising by over 0.1 before. The first such run is given.
     """
     early = max(3, round(fps * 0.2))
+    track, drawers = track.select("ep", "f", "x", "y", "area"), drawers.select("ep", "opening", "pull", "baseline", "span")
     rows = track.join(drawers, "ep").withColumn("seen", _seen("x", "y"))
     at_pull = F.max(F.when(F.col("seen") & (F.col("f") == F.col("pull")), F.struct("x", "y")))
     opened = F.col("seen") & (F.col("f") >= F.col("opening")) & (F.col("f") < F.col("opening") + early)
@@ -113,7 +115,8 @@ def scored_hypotheses(track: DataFrame, candidates: DataFrame, scale: float, win
     s, w = scale, series.ORDER()
     nxt = lambda c: F.lead(c).over(w) - F.col(c)
     length = lambda a, b: F.sqrt(F.col(a) ** 2 + F.col(b) ** 2)
-    rows = track.withColumn("seen", _seen("x", "y", "gx", "gy"))
+    candidates = candidates.select("ep", "id", "frame", "verified")
+    rows = track.select("ep", "f", "x", "y", "gx", "gy", "jaw").withColumn("seen", _seen("x", "y", "gx", "gy"))
     rows = rows.withColumns({"edge": F.coalesce(F.col("seen") & F.lead("seen").over(w), F.lit(False)), "vx": nxt("x"), "vy": nxt("y"), "wx": nxt("gx"), "wy": nxt("gy"), "nx": F.lead("x").over(w), "ny": F.lead("y").over(w), "n": F.count("*").over(series.EP())})
     rows = rows.withColumns({"speed": length("vx", "vy"), "hand": length("wx", "wy"), "apart": F.sqrt((F.col("vx") - F.col("wx")) ** 2 + (F.col("vy") - F.col("wy")) ** 2), "gap": F.when(F.col("seen"), F.sqrt((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2))})
     whole = series.EP()

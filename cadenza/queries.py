@@ -788,12 +788,12 @@ r{k + 1} AS (SELECT e{k}.user_id, id, x, y, keep AND (NOT fit OR coalesce(away <
 
 
 @query(f"""WITH r0 AS (SELECT user_id, event_id AS id, x, y, least(x, y) > 5 AND greatest(x, y) < 250 AS keep, 1.0::DOUBLE AS gain, 0.0::DOUBLE AS shift, true AS fit FROM (SELECT *, value AS x, value * 1.1 + event_id % 7 + CASE WHEN event_id % 13 = 0 THEN 60.0 ELSE 0.0 END AS y FROM events)){_rounds()}
-SELECT user_id, round(least(greatest(max(gain), 0.65), 1.5), 6) AS gain, round(least(greatest(max(shift), -50), 50), 5) AS "offset" FROM r3 GROUP BY 1""")
+SELECT user_id, round(least(greatest(max(gain), 0.65), 1.5), 7) AS gain, round(least(greatest(max(shift), -50), 50), 7) AS "offset" FROM r3 GROUP BY 1""")
 def robust_line_fit(spark, d):
     v, i = F.col("value"), F.col("event_id")
     y = v * 1.1 + i % 7 + F.when(i % 13 == 0, 60.0).otherwise(0.0)
     out = evidence.robust_line(table(spark, d, "events").select("user_id", v.alias("x"), y.alias("y")), "user_id")
-    return out.select("user_id", F.round("gain", 6).alias("gain"), F.round("offset", 5).alias("offset"))
+    return out.select("user_id", F.round("gain", 7).alias("gain"), F.round("offset", 7).alias("offset"))
 
 
 @query()
