@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
+_ENDING: set[str] = set()
 
 #: Rows and bytes of text that a Python kernel holds as Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
@@ -40,8 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def _files(spark: SparkSession, path: str):
+    """(Hadoop's file system, the path in it)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder of this application's in the shared folder; all of them go when the application ends, well or not."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _ENDING:
+        files, path = _files(spark, own)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ENDING.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,9 +64,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_all_but_last(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote, but for its last table: for callers who go on from that alone."""
+    for path in _WRITTEN[:-1]:
+        files, where = _files(spark, path)
+        files.delete(where, True)
+    del _WRITTEN[:-1]
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` hinted for broadcast if it has at most ``rows`` rows, as counted now; else as it is (sort-merge, AQE splits skew).
 
@@ -60,17 +84,22 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def packed(df: DataFrame, n: int, dtype: str) -> np.ndarray:
-    """An array of ``n`` values from rows (at, value); 0 where there is no row. One task puts it together, so the driver gets its bytes alone; the caller bounds ``n``."""
+def packed(df: DataFrame, n: int, dtype: str, part: int = 1 << 14) -> np.ndarray:
+    """An array of ``n`` values from rows (at, value); 0 where there is no row. Tasks pack ``part`` places each, so the driver gets bytes alone; the caller bounds ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(n, dtype)
         for batch in batches:
-            out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(dtype)
-        yield pa.record_batch({"data": pa.array([out.tobytes()], pa.binary())})
-
-    found = df.select("at", "value").repartition(1).mapInArrow(run, "data binary").collect()
-    return np.frombuffer(found[0][0], dtype) if found else np.zeros(n, dtype)
+            for k, at, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                out = np.zeros(part, dtype)
+                out[at.values.to_numpy()] = value.values.to_numpy().astype(dtype)
+                yield pa.record_batch({"k": pa.array([k], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    parts = df.groupBy(F.floor(F.col("at") / part).cast("long").alias("k")).agg(F.collect_list(F.struct((F.col("at") % part).alias("at"), "value")).alias("x"))
+    parts = parts.select("k", F.transform("x", lambda x: x["at"]).alias("at"), F.transform("x", lambda x: x["value"]).alias("value"))
+    out = np.zeros(-(-n // part) * part, dtype)
+    for row in parts.mapInArrow(run, "k long, data binary").collect():
+        out[row["k"] * part : (row["k"] + 1) * part] = np.frombuffer(row["data"], dtype)
+    return out[:n]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

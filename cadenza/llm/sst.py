@@ -223,7 +223,8 @@ def _files(uri: str):
 def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with the scheme that Spark reads it by, so that executors open the same place."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def open_shard(uri: str) -> Reader:

@@ -85,14 +85,8 @@ class SpanEncoder:
         return [np.flatnonzero(blank[1:] & blank[:-1])]
 
     def _empty(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.ids, self.text = _Lists(self.dtype), _Lists(np.dtype(np.uint8))
-
-    def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.ids.insert(where, self.learn([w.decode() for w in words]))
-        self.text.insert(where, [np.frombuffer(w, np.uint8) for w in words])
+        self.keys, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.text = _Lists(self.dtype), _Lists(np.dtype(np.uint64))
 
     def spans_of(self, texts: list[bytes]) -> Spans:
         """The words of ``texts`` (UTF-8) with their entries in the table."""
@@ -110,8 +104,9 @@ class SpanEncoder:
         whole[np.searchsorted(ends, odd, "right")] = True
         own = ~whole[np.searchsorted(ends, start, "right")]
         start, end = start[own], end[own]
-        entry = self._entries(data, b, start, end) if len(start) else np.zeros(0, np.int64)
-        wrong = start[~self.text.equal(entry, b, start, end)]  # another word has the hash
+        lanes = wordhash.lanes(b, start, end)
+        entry = self._entries(data, start, end, lanes)
+        wrong = start[~self._same(entry, lanes)]  # another word has the hash
         whole[np.searchsorted(ends, wrong, "right")] = True
         return Spans(b, ends, start, end, entry, whole)
 
@@ -126,19 +121,41 @@ class SpanEncoder:
             before = stop
         return out
 
-    def _entries(self, data: bytes, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _entries(self, data: bytes, start: np.ndarray, end: np.ndarray, lanes: wordhash.Lanes) -> np.ndarray:
         """The table's entry of each word, by its hash; words that the table lacks are learned."""
-        keys, first, place = np.unique(wordhash.spans(b, start, end), return_index=True, return_inverse=True)
+        keys, first, place = np.unique(lanes.hashes(), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         lacking = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(lacking):
             if len(self.keys) + len(lacking) > self.WORDS:
                 self._empty()
                 lacking = np.arange(len(keys))
-            self._add(keys[lacking], [data[x:y] for x, y in zip(start[first[lacking]].tolist(), end[first[lacking]].tolist())])
+            new = first[lacking]
+            where = np.searchsorted(self.keys, keys[lacking])
+            self.keys = np.insert(self.keys, where, keys[lacking])
+            self.size = np.insert(self.size, where, lanes.size[new])
+            ids = self.learn([data[x:y].decode() for x, y in zip(start[new].tolist(), end[new].tolist())])
+            self.ids.insert(where, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+            n = lanes.count[new]
+            self.text.insert(where, lanes.words[_each(np.cumsum(lanes.count)[new] - n, n)], n)
             at = np.searchsorted(self.keys, keys)
         return at[place]
 
+    def _same(self, entry: np.ndarray, lanes: wordhash.Lanes) -> np.ndarray:
+        """Whether each entry is the word itself, byte by byte."""
+        same = self.size[entry] == lanes.size
+        at = np.where(same, self.text.at[entry], 0)
+        differs = self.text.flat[np.repeat(at, lanes.count) + lanes.place if len(lanes.words) != len(at) else at] != lanes.words
+        if differs.any():
+            same[np.searchsorted(np.cumsum(lanes.count), np.flatnonzero(differs), "right")] = False
+        return same
+
+
+def _each(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at, at + 1, ..., ``n`` of each."""
+    until = np.cumsum(n)
+    return np.repeat(at - until + n, n) + np.arange(until[-1] if len(n) else 0)
+
 
 class _Lists:
     """Lists of numbers in one growing buffer."""
@@ -147,32 +164,19 @@ class _Lists:
         self.flat, self.used = np.zeros(1 << 16, dtype), 0
         self.at = self.n = np.zeros(0, np.int64)
 
-    def insert(self, where: np.ndarray, lists: list[np.ndarray]) -> None:
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
+    def insert(self, where: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        """Lists of ``n`` numbers, one after the other in ``flat``, before the places ``where``."""
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.concatenate(lists)
+        self.flat[self.used : self.used + len(flat)] = flat
         self.at = np.insert(self.at, where, self.used + np.cumsum(n) - n)
         self.n = np.insert(self.n, where, n)
-        self.used += total
+        self.used += len(flat)
 
     def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of the entries, one after the other, and where each ends."""
         n = self.n[entry]
-        until = np.cumsum(n)
-        return self.flat[np.repeat(self.at[entry] - until + n, n) + np.arange(until[-1] if len(n) else 0)], until
-
-    def equal(self, entry: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether each entry is the stretch of ``b`` from ``start`` to ``end``."""
-        same = self.n[entry] == end - start
-        entry, start, n = entry[same], start[same], (end - start)[same]
-        until = np.cumsum(n)
-        if len(n):
-            step = np.arange(until[-1]) - np.repeat(until - n, n)
-            differs = self.flat[np.repeat(self.at[entry], n) + step] != b[np.repeat(start, n) + step]
-            same[np.flatnonzero(same)[np.searchsorted(until, np.flatnonzero(differs), "right")]] = False
-        return same
+        return self.flat[_each(self.at[entry], n)], np.cumsum(n)
 
 
 def pairs(b: np.ndarray, lead: int, after: tuple[int, ...]) -> np.ndarray:

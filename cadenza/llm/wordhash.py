@@ -6,6 +6,8 @@ as well (``vocab.SpanEncoder``).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 
@@ -65,29 +67,42 @@ _LENGTH, _PAD = np.uint64(0xD6E8FEB86659FD93), np.zeros(8, np.uint8)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of the bytes ``b``.
+class Lanes(NamedTuple):
+    """Spans of bytes, eight at a time: the ``words``, the ``place`` of each in its span, how many words (``count``) and bytes (``size``) a span has."""
 
-    Eight bytes at a time go through a mixer with a key of their place; the sum goes through it again with the length. Spans of up to
-    eight bytes never share a hash but by a chance of 2**-64; no structure of longer ones cancels, as it does in polynomials modulo 2**64.
-    """
-    n = ends - starts
-    if not len(n):
-        return np.zeros(0, np.uint64)
-    padded = np.concatenate([b, _PAD])
-    eights = np.lib.stride_tricks.as_strided(padded.view(), (len(b) + 1, 8), (1, 1))
-    lanes = np.maximum((n + 7) >> 3, 1)
-    last = np.cumsum(lanes)
-    if last[-1] == len(n):
-        place, at, left = np.zeros(len(n), np.int64), starts, n
+    words: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+    size: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        """Eight bytes at a time go through a mixer with a key of their place; the sum goes through it again with the length. Spans of up to eight bytes
+        never share a hash but by a chance of 2**-64; no structure of longer ones cancels, as it does in polynomials modulo 2**64."""
+        if not len(self.count):
+            return np.zeros(0, np.uint64)
+        out = mix(self.words ^ _lane_keys(int(self.count.max()))[self.place])
+        if len(self.words) != len(self.count):
+            out = np.add.reduceat(out, np.cumsum(self.count) - self.count)
+        return mix(out + self.size.astype(np.uint64) * _LENGTH)
+
+
+def lanes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Lanes:
+    size = ends - starts
+    count = np.maximum((size + 7) >> 3, 1)
+    last = np.cumsum(count)
+    if not len(size) or last[-1] == len(size):
+        place, at, left = np.zeros(len(size), np.int64), starts, size
     else:
-        place = np.arange(last[-1]) - np.repeat(last - lanes, lanes)
-        at, left = np.repeat(starts, lanes) + 8 * place, np.repeat(n, lanes) - 8 * place
-    word = eights[at].view(np.uint64).ravel() & _MASKS[np.minimum(left, 8)]
-    out = mix(word ^ _lane_keys(int(lanes.max()))[place])
-    if last[-1] != len(n):
-        out = np.add.reduceat(out, last - lanes)
-    return mix(out + n.astype(np.uint64) * _LENGTH)
+        place = np.arange(last[-1]) - np.repeat(last - count, count)
+        at, left = np.repeat(starts, count) + 8 * place, np.repeat(size, count) - 8 * place
+    padded = np.concatenate([b, _PAD])
+    eights = np.lib.stride_tricks.as_strided(padded, (len(b) + 1, 8), (1, 1))
+    return Lanes(eights[at].view(np.uint64).ravel() & _MASKS[np.minimum(left, 8)], place, count, size)
+
+
+def spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of the bytes ``b``."""
+    return lanes(b, starts, ends).hashes()
 
 
 PLACES = _random(64, 2) | np.uint64(1)

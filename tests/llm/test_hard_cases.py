@@ -33,8 +33,8 @@ def test_folded_words_are_told_apart(a, b):
 
 @pytest.mark.parametrize("bits", [0, 4])
 def test_word_tables_survive_colliding_hashes(monkeypatch, bits):
-    plain, rng = wordhash.spans, random.Random(bits)
-    monkeypatch.setattr(wordhash, "spans", lambda *a: plain(*a) & np.uint64((1 << bits) - 1))
+    plain, rng = wordhash.Lanes.hashes, random.Random(bits)
+    monkeypatch.setattr(wordhash.Lanes, "hashes", lambda self: plain(self) & np.uint64((1 << bits) - 1))
     texts = [" ".join(rng.choice(["alpha", "beta", "gam", "ma", "x"]) for _ in range(rng.randint(0, 6))) for _ in range(60)]
     for own in (vocab.ByteLevelEncoder(BYTES), pieces.Model(pieces.read_pieces(PIECES))):
         for _ in range(2):
