@@ -1,4 +1,4 @@
-"""Audits: each returns the rows that violate a rule, so a good table gives none."""
+"""Audits: each returns the rows that violate a rule, so a good table, and an empty one, give none. A null where a value must be is a violation."""
 
 from __future__ import annotations
 

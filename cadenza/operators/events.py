@@ -1,4 +1,8 @@
-"""Joins of events, intervals and frames. Range joins carry the episode as an equality key, so they shuffle by it and never cross episodes."""
+"""Joins of events, intervals and frames. Range joins carry the episode as an equality key, so they shuffle by it and never cross episodes.
+
+Nulls, ties, empties: rows without a key or bound match nothing; empty and backward intervals hold no frame; marks at the same frame as an event count as
+before it; repeated rows give repeated pairs; an empty table on either side gives an empty result, or nulls where a mark is sought.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Evidence on objects and grips: verdicts on observed frames, intervals between runs, agreement of points, and what a clock left out."""
+"""Evidence on objects and grips: verdicts on observed frames, intervals between runs, agreement of points, and what a clock left out.
+
+Nulls, ties, empties: what wasn't seen is null and is no evidence either way; the lowest or earliest of equal candidates wins; verdicts without enough looks
+say so; an episode without looks has no row; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -1,6 +1,10 @@
 """Frame-ordered operators. Frames have ep (episode), f (0, 1, ... in it), v (value) or vec (vector).
 
 All windows partition by ep and order by f, so Spark shuffles the frames once by episode for a whole chain.
+
+Nulls, ties, empties: a null value is a gap; steps beside it are null and no motion, windows leave it out, ``filled`` closes it. The earlier of equal frames
+wins. An episode of one frame has no steps, edges or energy. Repeated (ep, f) rows are told by ``audit.repeated_keys`` first. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""Statistics of channels: exact, mergeable, by episode or over all."""
+"""Statistics of channels: exact, mergeable, by episode or over all.
+
+Nulls, ties, empties: null channel values and null vectors don't count; repeated rows count as often as they stand there; a group without values has null
+statistics and count 0; an empty table gives an empty result. Exact quantiles keep the distinct values of a group (a channel) in one task; ``merged_stats``
+needs none and takes any number of rows.
+"""
 
 from __future__ import annotations
 

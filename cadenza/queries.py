@@ -39,6 +39,11 @@ def label_frames(spark: SparkSession, d: str) -> DataFrame:
     return series.frames(table(spark, d, "embeddings"), "label", ["vec_id"], X.doubles(F.slice("embedding", 1, 14)).alias("vec"), "vec_id")
 
 
+def whole_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """As label_frames, with all channels."""
+    return series.frames(table(spark, d, "embeddings"), "label", ["vec_id"], X.doubles(F.col("embedding")).alias("vec"))
+
+
 S = "s AS (SELECT user_id AS ep, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f, value AS v, event_type AS kind, event_id, ts FROM events)"
 V = "e AS (SELECT label::BIGINT AS ep, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, vec_id, embedding FROM embeddings)"
 W = "(PARTITION BY ep ORDER BY f)"
@@ -87,7 +92,7 @@ def global_offsets(spark, d):
 
 # ---- statistics
 
-U = f"{V}, u AS (SELECT ep, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM e, range(1, 15) t(i))"
+U = f"{V}, u AS (SELECT ep, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM e, range(1, 65) t(i))"
 STATS = "min(x) AS min, max(x) AS max, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, count(x) AS count"
 
 
@@ -97,12 +102,12 @@ def _rounded(df, *cols):
 
 @query(f"WITH {U} SELECT pos::INT AS pos, {STATS}, " + ", ".join(f"round(quantile_cont(x, {q}), 9) AS q{round(100 * q):02d}" for q in stats.QUANTILES) + " FROM u GROUP BY pos")
 def vector_feature_stats(spark, d):
-    return _rounded(stats.vector_stats(label_frames(spark, d)), "mean", "std", *(f"q{round(100 * q):02d}" for q in stats.QUANTILES))
+    return _rounded(stats.vector_stats(whole_vectors(spark, d)), "mean", "std", *(f"q{round(100 * q):02d}" for q in stats.QUANTILES))
 
 
 @query(f"WITH {U} SELECT pos::INT AS pos, {STATS} FROM u GROUP BY pos")
 def merged_stats(spark, d):
-    parts = stats.vector_stats(label_frames(spark, d), "vec", "ep", quantiles=False)
+    parts = stats.vector_stats(whole_vectors(spark, d), "vec", "ep", quantiles=False)
     return _rounded(stats.merged_stats(parts, "pos"), "mean", "std")
 
 
@@ -329,11 +334,11 @@ def interpolated_clock_rows(spark, d):
     return clocks.interpolate(clock, rows.select("ep", "f", "vec")).select("ep", "t", "c", F.transform("vec", lambda x: F.round(x, 9)).alias("vec"))
 
 
-@query(f"WITH {V}, n AS (SELECT ep, count(*) AS n FROM e GROUP BY ep) SELECT e.ep, f AS t, f * 1.25 AS c FROM e JOIN n USING (ep) WHERE f * 1.25 > n - 1")
+@query(f"WITH {V}, n AS (SELECT ep, count(*) AS n FROM e GROUP BY ep), x AS (SELECT ep, f, CASE WHEN f % 9 = 0 THEN NULL WHEN f % 8 = 7 THEN 'nan'::DOUBLE WHEN f % 7 = 6 THEN -0.5 ELSE f * 1.25::DOUBLE END AS c FROM e) SELECT x.ep, f AS t, c FROM x JOIN n USING (ep) WHERE c IS NULL OR isnan(c) OR c < 0 OR c > n - 1")
 def clock_bounds_audit(spark, d):
-    rows = label_frames(spark, d)
-    clock = rows.select("ep", F.col("f").alias("t"), (F.col("f") * F.lit(1.25)).alias("c"))
-    return clocks.bad_positions(clock, rows.groupBy("ep").agg(F.count("*").alias("n"))).select("ep", "t", "c")
+    rows, f = label_frames(spark, d), F.col("f")
+    c = F.when(f % 9 == 0, None).when(f % 8 == 7, float("nan")).when(f % 7 == 6, -0.5).otherwise(f * 1.25)
+    return clocks.bad_positions(rows.select("ep", f.alias("t"), c.alias("c")), rows.groupBy("ep").agg(F.count("*").alias("n"))).select("ep", "t", "c")
 
 
 @query(f"WITH {PLAN}, k AS (SELECT ep * 8 + grid_index AS ep, t, left_src, right_src FROM ck), w AS (SELECT *, lag(left_src) OVER (PARTITION BY ep ORDER BY t) AS a, lag(right_src) OVER (PARTITION BY ep ORDER BY t) AS b FROM k) SELECT ep, count_if(left_src = a) AS left_waits, count_if(right_src = b) AS right_waits, count(*) AS frames FROM w GROUP BY ep")
@@ -535,10 +540,12 @@ def json_props_stats(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("props").alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
 
 
-@query(f"WITH {V} SELECT ep, f, round(list_sum([abs(embedding[i]::DOUBLE - embedding[i + 7]::DOUBLE) FOR i IN range(1, 8)]) / 7, 9) AS error, true AS finite FROM e")
+@query(f"WITH {V} SELECT ep, f, round(list_sum([abs(embedding[i]::DOUBLE - embedding[i + 7]::DOUBLE) FOR i IN range(1, 8)]) / 7, 9) AS error, f % 5 <> 0 AND f % 7 <> 0 AND f % 11 <> 0 AND f % 13 <> 0 AS finite FROM e")
 def vector_guards(spark, d):
-    rows = label_frames(spark, d)
-    return rows.select("ep", "f", F.round(X.mean_abs_error(F.slice("vec", 1, 7), F.slice("vec", 8, 7)), 9).alias("error"), X.is_vector(F.col("vec"), 14).alias("finite"))
+    rows, f = label_frames(spark, d), F.col("f")
+    put = lambda x: F.transform("vec", lambda v, i: F.when(i == 2, x).otherwise(v))
+    bad = F.when(f % 5 == 0, F.slice("vec", 1, 13)).when(f % 7 == 0, put(F.lit(float("nan")))).when(f % 11 == 0, put(F.lit(float("inf")))).when(f % 13 == 0, put(F.lit(None).cast("double"))).otherwise(F.col("vec"))
+    return rows.select("ep", "f", F.round(X.mean_abs_error(F.slice("vec", 1, 7), F.slice("vec", 8, 7)), 9).alias("error"), X.is_vector(bad, 14).alias("finite"))
 
 
 @query("SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS n FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s) GROUP BY user_id")
@@ -727,9 +734,10 @@ def swept_boxes(spark, d):
     return out.select("ep", *(F.round(c, 9).alias(c) for c in out.columns[1:]))
 
 
-@query(f"""WITH {PLAT}, x AS (SELECT *, f >= count(*) OVER (PARTITION BY ep) - 3 AS held FROM p), g AS (SELECT ep, count(*) AS n, count_if(held) AS held, min(CASE WHEN held THEN f END) AS start, max(CASE WHEN held THEN c END) - min(CASE WHEN held THEN c END) AS moved FROM x GROUP BY ep) SELECT * FROM g WHERE held <> 3 OR start <> n - held OR moved > 0""")
+@query(f"""WITH {PLAT}, x AS (SELECT *, f >= count(*) OVER (PARTITION BY ep) - 3 + ep % 3 OR ep % 5 = 0 AND f % 20 = 7 AS held FROM p), g AS (SELECT ep, count(*) AS n, count_if(held) AS held, min(CASE WHEN held THEN f END) AS start, max(CASE WHEN held THEN c END) - min(CASE WHEN held THEN c END) AS moved FROM x GROUP BY ep) SELECT * FROM g WHERE held <> 3 OR start <> n - held OR moved > 0""")
 def hold_audit(spark, d):
-    rows = _plateaus(spark, d).withColumn("held", F.col("f") >= F.count("*").over(series.EP()) - 3)
+    ep, f = F.col("ep"), F.col("f")
+    rows = _plateaus(spark, d).withColumn("held", (f >= F.count("*").over(series.EP()) - 3 + ep % 3) | (ep % 5 == 0) & (f % 20 == 7))
     return evidence.hold_errors(rows, FPS, 1.5)
 
 
