@@ -30,13 +30,25 @@ def get_json(spark: SparkSession, path: str) -> dict:
 
 
 def put_json(spark: SparkSession, path: str, value: object) -> None:
+    put_text(spark, path, json.dumps(value, indent=2, allow_nan=False))
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark.sparkContext._jvm
     file = jvm.org.apache.hadoop.fs.Path(path)
     out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
-    out.write(bytearray(json.dumps(value, indent=2, allow_nan=False).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
+def card(meta: dict, **about: object) -> str:
+    """A short description of a dataset in Markdown: totals, features, how it was made."""
+    rows = [f"| {k} | {f.get('dtype')} | {'x'.join(map(str, f.get('shape', ())))} |" for k, f in sorted(meta["features"].items())]
+    made = [f"* {k}: {v}" for k, v in sorted(about.items())]
+    lines = ["# Dataset", "", f"{meta['total_episodes']} episodes, {meta['total_frames']} frames at {meta['fps']} frames a second.", "", "| Feature | Type | Shape |", "|---|---|---|", *rows, "", *made]
+    return "\n".join(lines).rstrip() + "\n"
+
+
 def publish(spark: SparkSession, output: str, write) -> None:
     """``write(folder)`` into a staging folder, which is renamed to ``output``; on failure it is removed. An output that is there already is an error."""
     jvm = spark.sparkContext._jvm
@@ -90,7 +102,9 @@ def _written(spark: SparkSession, stage: str, rows: DataFrame, episodes: DataFra
         by_channel = sorted(stats.vector_stats(made, f"`{v}`", quantiles=False).collect(), key=lambda r: r["pos"])
         found[v] = {k: [r[k] for r in by_channel] for k in ("min", "max", "mean", "std")} | {"count": [by_channel[0]["count"]]} if by_channel else {}
     put_json(spark, f"{stage}/meta/stats.json", found)
-    put_json(spark, f"{stage}/meta/info.json", meta | {"total_episodes": total["episodes"], "total_frames": total["frames"], "total_tasks": tasks.count(), "data_path": "data/*.parquet"})
+    meta = meta | {"total_episodes": total["episodes"], "total_frames": total["frames"], "total_tasks": tasks.count(), "data_path": "data/*.parquet"}
+    put_json(spark, f"{stage}/meta/info.json", meta)
+    put_text(spark, f"{stage}/README.md", card(meta, **meta.get("made", {})))
 
 
 def write_dataset(spark: SparkSession, output: str, rows: DataFrame, episodes: DataFrame, tasks: DataFrame, fps: float, features: dict[str, dict]) -> None:
@@ -126,7 +140,7 @@ def trim_dataset(spark: SparkSession, source: str, output: str, joint: float = 0
     about = edges.join(numbers, "ep").join(episodes.select(F.col("episode_index").alias("ep"), "tasks"), "ep")
     about = about.select("episode_index", "tasks", F.col("ep").alias("trim/source_episode"), F.col("n").alias("trim/source_frames"), F.col("start").alias("trim/start"), F.col("stop").alias("trim/stop"), F.col("all_static").alias("trim/all_static"), F.col("shortfall").alias("trim/shortfall"))
     features = {c: f for c, f in meta["features"].items() if c in keep or c in IDS}
-    publish(spark, output, lambda stage: _written(spark, stage, kept, about, tasks_of(spark, source), meta | {"features": features}, [v for v in _vectors(meta) if v in keep]))
+    publish(spark, output, lambda stage: _written(spark, stage, kept, about, tasks_of(spark, source), meta | {"features": features, "made": {"by": "trim", "joint": joint, "grip": grip, "tail_seconds": tail_seconds}}, [v for v in _vectors(meta) if v in keep]))
     made = get_json(spark, f"{output}/meta/info.json")
     return {"source_frames": meta["total_frames"], "output_frames": made["total_frames"], "episodes": made["total_episodes"]}
 
@@ -187,7 +201,7 @@ def retime_dataset(spark: SparkSession, source: str, output: str, outputs: int,
         F.to_json(F.struct("ls", "le", "rs", "re", "right_before", "left_after")).alias("retime/detection_json"),
     )
     features = {v: meta["features"][v] for v in vectors} | {c: {"dtype": "bool", "shape": [1]} for c in flags} | {f"retime.{s}_source_frame": {"dtype": "int64", "shape": [1]} for s in ("left", "right")}
-    publish(spark, output, lambda stage: _written(spark, stage, made, about, tasks_of(spark, source), meta | {"features": features}, vectors))
+    publish(spark, output, lambda stage: _written(spark, stage, made, about, tasks_of(spark, source), meta | {"features": features, "made": {"by": "retime", "outputs": outputs, "least_frames": least}}, vectors))
     total = get_json(spark, f"{output}/meta/info.json")
     return {"source_episodes": meta["total_episodes"], "output_episodes": total["total_episodes"], "output_frames": total["total_frames"]}
 

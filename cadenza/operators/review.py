@@ -246,3 +246,32 @@ def covers(whole: DataFrame, *parts: DataFrame) -> DataFrame:
     both = whole.withColumn("known", F.lit(True)).join(every, whole.columns, "full")
     out = both.withColumns({"times": F.coalesce("times", F.lit(0)), "known": F.coalesce("known", F.lit(False))})
     return out.where("times <> 1 or not known")
+
+
+def template_looks(looks: DataFrame, hands: DataFrame, every: int = 3, clear: float = 1.5) -> DataFrame:
+    """Looks (ep, f, id, x, y, size, score) on every ``every``-th frame with both hands (ep, f, side, x, y) at least ``clear`` sizes away."""
+    some = looks.where(F.col("f") % every == 0)
+    hand = hands.select("ep", "f", F.col("x").alias("hx"), F.col("y").alias("hy"))
+    near = some.join(hand, ["ep", "f"]).where(F.sqrt((F.col("x") - F.col("hx")) ** 2 + (F.col("y") - F.col("hy")) ** 2) < clear * F.col("size"))
+    return some.join(near.select("ep", "f", "id").distinct(), ["ep", "f", "id"], "left_anti")
+
+
+def joint_regions(boxes: DataFrame, share: float = 0.6, quantile: float = 0.9) -> DataFrame:
+    """Bounds of the boxes (ep, x0, y0, x1, y1) whose area reaches ``share`` of the episode's ``quantile`` of areas, and their number."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    marked = boxes.withColumn("_area", area).withColumn("_limit", share * F.percentile("_area", quantile).over(Window.partitionBy("ep")))
+    return marked.where("_area >= _limit").groupBy("ep").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("boxes"))
+
+
+def manifest_errors(now: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (path, bytes, sha256) that differ from a manifest: ``gone``, ``new``, ``size`` or ``content``."""
+    was = manifest.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha256"))
+    both = now.join(was, "path", "full")
+    why = F.when(F.col("sha256").isNull(), "gone").when(F.col("_sha256").isNull(), "new").when(F.col("bytes") != F.col("_bytes"), "size").when(F.col("sha256") != F.col("_sha256"), "content")
+    return both.withColumn("why", why).where("why is not null").select("path", "why")
+
+
+def final_gates(**violations: DataFrame) -> DataFrame:
+    """A row for each named audit: its violations and whether it passed. All must pass before anything is published."""
+    rows = [v.agg(F.count("*").alias("violations")).select(F.lit(name).alias("gate"), "violations") for name, v in violations.items()]
+    return reduce(DataFrame.unionAll, rows).withColumn("passed", F.col("violations") == 0)

@@ -90,27 +90,59 @@ def _packed(rows: list[tuple], *kinds: pa.DataType, names: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
 
 
+def _grids(cells: DataFrame) -> DataFrame:
+    """ep, n, m and the places i * m + j of blocked cells: one array an episode."""
+    bad = F.when(F.col("blocked"), F.col("i") * F.col("m") + F.col("j"))
+    grids = cells.groupBy("ep").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.collect_list(bad).alias("bad"))
+    return grids.select("ep", F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m"), "bad")
+
+
+def _open(n: int, m: int, blocked: list[int]) -> np.ndarray:
+    ok = np.ones(n * m, bool)
+    ok[blocked] = False
+    return ok.reshape(n, m)
+
+
+def frontiers(cells: DataFrame, most: int = 4) -> DataFrame:
+    """Of episodes without a schedule (``cells`` as for ``schedules``): the ``most`` reachable states that are furthest (i + j, then i), and what stops each move from there.
+
+    ep, place, i, j, both, left, right: ``free``, ``blocked`` or ``outside`` for the move of both clocks and of one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for ep, n, m, blocked in zip(*(c.to_pylist() for c in batch.columns)):
+                ok = _open(n, m, blocked)
+                far = wave(ok)
+                if far[-1, -1] >= 0:
+                    continue
+                states = sorted(zip(*(x.tolist() for x in np.nonzero(far >= 0))), key=lambda s: (-sum(s), -s[0]))[:most]
+                for place, (i, j) in enumerate(states):
+                    moves = ("outside" if a >= n or b >= m else "free" if ok[a, b] else "blocked" for a, b in ((i + 1, j + 1), (i + 1, j), (i, j + 1)))
+                    rows.append((ep, place, i, j, *moves))
+            yield _packed(rows, *[pa.int64()] * 4, *[pa.string()] * 3, names=["ep", "place", "i", "j", "both", "left", "right"])
+
+    return _grids(cells).mapInArrow(run, "ep long, place long, i long, j long, both string, left string, right string")
+
+
 def schedules(cells: DataFrame) -> DataFrame:
     """Per ep of ``cells`` (ep, n, m, i, j, blocked): the steps of the shortest schedule that enters no blocked cell, or why there is none (start, end, no path).
 
     Only blocked cells travel, as one array an episode; many episodes go through a task's Arrow batch.
     """
-    bad = F.when(F.col("blocked"), F.col("i") * F.col("m") + F.col("j"))
-    grids = cells.groupBy("ep").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.collect_list(bad).alias("bad"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for ep, n, m, blocked in zip(*(c.to_pylist() for c in batch.columns)):
-                ok = np.ones(n * m, bool)
-                ok[blocked] = False
-                ok = ok.reshape(n, m)
+                ok = _open(n, m, blocked)
                 far = wave(ok)[-1, -1]
                 why = None if far >= 0 else "start" if not ok[0, 0] else "end" if not ok[-1, -1] else "no path"
                 rows.append((ep, far >= 0, int(far) if far >= 0 else None, why))
             yield _packed(rows, pa.int64(), pa.bool_(), pa.int64(), pa.string(), names=["ep", "feasible", "steps", "why"])
 
-    return grids.select("ep", F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m"), "bad").mapInArrow(run, "ep long, feasible boolean, steps long, why string")
+    return _grids(cells).mapInArrow(run, "ep long, feasible boolean, steps long, why string")
 
 
 def static_spans(values: np.ndarray, limits: np.ndarray, intervals: Iterable[tuple[int, int]], least: int, guard: int) -> np.ndarray:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from .functions import geometry as G
-from .operators import review, series
+from .operators import audit, review, series
+from .plans import profiles, solvers
 from .queries import FPS, S, V, W, label_frames, query, user_frames
 from .session import table
 
@@ -405,3 +406,64 @@ def decoded_props(spark, d):
     """Time in seconds to the nearest frame; JSON decoded, compared with what is computed anew, and encoded compactly."""
     k = F.from_json("props", "k long")["k"]
     return table(spark, d, "events").select("event_id", X.half_even(F.col("value") * 30).alias("frame"), (k != F.col("event_id") % 100).alias("differs"), F.to_json(F.struct(k.alias("k"), F.col("event_id").alias("v"))).alias("compact"))
+
+
+# ---- profiles, frontiers, manifests, gates
+
+
+@query("SELECT * FROM (VALUES ('drawer', 'observation.images.top', 1::BIGINT, 'saturated', NULL, ['open_before_insert', 'withdraw_before_close']), ('letters', 'observation.images.top', 4, 'saturated', 'left', []::VARCHAR[]), ('workpiece', 'observation.images.right_environment_1', 4, 'dark', 'alternating_pickups', []::VARCHAR[]), ('workpiece', 'observation.images.right_environment_1', 2, 'dark', 'left', []::VARCHAR[])) t(name, camera, expected_objects, object_kind, priority, dependencies)")
+def task_profiles(spark, d):
+    """The known tasks, and one with two fields changed."""
+    return profiles.table(spark, *profiles.PROFILES, profiles.profile("workpiece", expected_objects=2, priority="left"))
+
+
+@query(f"""WITH RECURSIVE {S}, n AS (SELECT ep, count(*) // 4 AS n FROM s GROUP BY ep), c AS (SELECT ep, f // 4 AS i, f % 4 AS j, v < 6 AS bad FROM s JOIN n USING (ep) WHERE f // 4 < n), ok AS (SELECT * FROM c WHERE NOT bad),
+w(ep, i, j) AS (SELECT ep, i, j FROM ok WHERE i = 0 AND j = 0 UNION SELECT w.ep, ok.i, ok.j FROM w JOIN ok ON ok.ep = w.ep AND ok.i - w.i BETWEEN 0 AND 1 AND ok.j - w.j BETWEEN 0 AND 1 AND (ok.i, ok.j) <> (w.i, w.j)),
+x AS (SELECT w.*, n, row_number() OVER (PARTITION BY w.ep ORDER BY w.i + w.j DESC, w.i DESC) - 1 AS place FROM w JOIN n USING (ep) WHERE NOT EXISTS (SELECT 1 FROM w z WHERE z.ep = w.ep AND z.i = n.n - 1 AND z.j = 3))
+SELECT ep, place, i, j, CASE WHEN i + 1 >= n OR j + 1 >= 4 THEN 'outside' WHEN EXISTS (SELECT 1 FROM ok WHERE ok.ep = x.ep AND ok.i = x.i + 1 AND ok.j = x.j + 1) THEN 'free' ELSE 'blocked' END AS "both",
+CASE WHEN i + 1 >= n THEN 'outside' WHEN EXISTS (SELECT 1 FROM ok WHERE ok.ep = x.ep AND ok.i = x.i + 1 AND ok.j = x.j) THEN 'free' ELSE 'blocked' END AS "left", CASE WHEN j + 1 >= 4 THEN 'outside' WHEN EXISTS (SELECT 1 FROM ok WHERE ok.ep = x.ep AND ok.i = x.i AND ok.j = x.j + 1) THEN 'free' ELSE 'blocked' END AS "right" FROM x WHERE place < 4""")
+def schedule_frontiers(spark, d):
+    from .queries import _cells
+
+    rows = user_frames(spark, d).select("ep", "f", "v")
+    cells = _cells(spark, d).drop("blocked").join(rows.select("ep", F.floor(F.col("f") / 4).cast("long").alias("i"), (F.col("f") % 4).cast("long").alias("j"), (F.col("v") < 6).alias("blocked")), ["ep", "i", "j"])
+    return solvers.frontiers(cells)
+
+
+@query(f"""WITH {S}, l AS (SELECT ep, f, event_id AS id, v AS x, (event_id % 60)::DOUBLE AS y, 10.0::DOUBLE AS size FROM s WHERE kind <> 'error'), h AS (SELECT ep, f, v + event_id % 30 AS x, (event_id % 50)::DOUBLE AS y FROM s UNION ALL SELECT ep, f, v - event_id % 40, (event_id % 70)::DOUBLE FROM s)
+SELECT ep, f, id, x FROM l WHERE f % 3 = 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.ep = l.ep AND h.f = l.f AND sqrt((l.x - h.x) ** 2 + (l.y - h.y) ** 2) < 15)""")
+def template_observations(spark, d):
+    rows, e, v = user_frames(spark, d), F.col("event_id"), F.col("v")
+    looks = rows.where("kind <> 'error'").select("ep", "f", e.alias("id"), v.alias("x"), (e % 60).cast("double").alias("y"), F.lit(10.0).alias("size"))
+    hands = rows.select("ep", "f", F.lit("left").alias("side"), (v + e % 30).alias("x"), (e % 50).cast("double").alias("y")).unionByName(rows.select("ep", "f", F.lit("right").alias("side"), (v - e % 40).alias("x"), (e % 70).cast("double").alias("y")))
+    return review.template_looks(looks, hands).select("ep", "f", "id", "x")
+
+
+@query(f"""WITH {S}, b AS (SELECT ep, v AS x0, (event_id % 40)::DOUBLE AS y0, v + event_id % 25 AS x1, event_id % 40 + v AS y1 FROM s), a AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM b), q AS (SELECT ep, quantile_cont(area, 0.9) AS q FROM a GROUP BY ep)
+SELECT ep, min(x0) AS x0, min(y0) AS y0, round(max(x1), 6) AS x1, round(max(y1), 6) AS y1, count(*) AS boxes FROM a JOIN q USING (ep) WHERE area >= 0.6 * q GROUP BY ep""")
+def cabinet_regions(spark, d):
+    rows, e, v = user_frames(spark, d), F.col("event_id"), F.col("v")
+    boxes = rows.select("ep", v.alias("x0"), (e % 40).cast("double").alias("y0"), (v + e % 25).alias("x1"), (e % 40 + v).alias("y1"))
+    return review.joint_regions(boxes).withColumns({"x1": F.round("x1", 6), "y1": F.round("y1", 6)})
+
+
+def _manifest(spark, d):
+    text, k = F.col("text").cast("binary"), F.col("doc_id")
+    files = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("file-"), k.cast("string")).alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"), k)
+    manifest = files.where(k % 11 != 0).select("path", F.when(k % 13 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"), F.when(k % 17 == 0, "0").otherwise(F.col("sha256")).alias("sha256"))
+    return files.where(k % 19 != 0).drop("doc_id"), manifest
+
+
+MANIFEST = "SELECT 'file-' || doc_id AS path, CASE WHEN doc_id % 19 = 0 THEN 'gone' WHEN doc_id % 11 = 0 THEN 'new' WHEN doc_id % 13 = 0 THEN 'size' ELSE 'content' END AS why FROM documents WHERE text IS NOT NULL AND (doc_id % 19 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0) AND NOT (doc_id % 19 = 0 AND doc_id % 11 = 0)"
+
+
+@query(MANIFEST)
+def manifest_audit(spark, d):
+    return review.manifest_errors(*_manifest(spark, d))
+
+
+@query(f"WITH {S} SELECT 'files' AS gate, count(*) AS violations, count(*) = 0 AS passed FROM ({MANIFEST}) UNION ALL SELECT 'keys', 0, true UNION ALL SELECT 'frames', 0, true UNION ALL SELECT 'totals', CASE WHEN count(*) = 10000 THEN 0 ELSE 1 END, count(*) = 10000 FROM s")
+def final_gates(spark, d):
+    """What must hold before a dataset is final: files as in their manifest, keys unique, frames without gaps, the expected total."""
+    rows = user_frames(spark, d).select("ep", "f", "event_id")
+    return review.final_gates(files=review.manifest_errors(*_manifest(spark, d)), keys=audit.repeated_keys(rows, "ep", "f"), frames=audit.frame_gaps(rows), totals=audit.total_errors(rows, 10000))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
@@ -119,6 +120,19 @@ def publish(df: DataFrame, path: str, *partition: str) -> None:
         files.delete(before, True)
 
 
+def cached(spark: SparkSession, root: str, make, **key: object) -> DataFrame:
+    """The table that ``make()`` gives, kept under ``root`` by the SHA-256 of ``key`` (code version, input fingerprints, parameters): made once, read after that.
+
+    A key that JSON can't write is an error. The table is written beside its place and renamed, so a run that dies leaves no half of it.
+    """
+    digest = hashlib.sha256(json.dumps(key, sort_keys=True, allow_nan=False).encode()).hexdigest()
+    path = f"{root}/{digest}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        publish(make(), path)
+    return spark.read.parquet(path)
+
+
 def outside(output: str, *sources: str) -> None:
     """An error if ``output`` lies within a source."""
     out = os.path.abspath(output)
