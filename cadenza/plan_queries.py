@@ -36,6 +36,22 @@ def approach_clocks(spark, d):
     return clocks.approach_clock(routes, 30.0).withColumn("c", F.round("c", 6))
 
 
+@query(f"""WITH {S}, k AS (SELECT ep, f AS t, ep % 5 + 6 AS p FROM s), o AS (SELECT ep, t, ((t // (2 * p)) * p + least(t % (2 * p), p))::DOUBLE AS l, t::DOUBLE AS r FROM k),
+m AS (SELECT *, lead(l) OVER w > l AS ml, lead(r) OVER w > r AS mr, max(t) OVER (PARTITION BY ep) AS e FROM o WINDOW w AS (PARTITION BY ep ORDER BY t)), co AS (SELECT ep, t, e FROM (SELECT *, lag(ml) OVER w AS bl, lag(mr) OVER w AS br FROM m WINDOW w AS (PARTITION BY ep ORDER BY t)) WHERE t > 0 AND t < e AND (ml <> bl OR mr <> br)),
+b AS (SELECT ep, t AS x FROM co UNION ALL SELECT DISTINCT ep, 0 FROM o), g AS (SELECT b.ep, row_number() OVER (PARTITION BY b.ep ORDER BY x) - 1 AS part, x AS a, coalesce(lead(x) OVER (PARTITION BY b.ep ORDER BY x), e) AS b, lead(x) OVER (PARTITION BY b.ep ORDER BY x) IS NOT NULL AS braking FROM b JOIN (SELECT ep, max(t) AS e FROM o GROUP BY ep) z ON z.ep = b.ep),
+h AS (SELECT ep, part, a, b - a AS dd, CASE WHEN braking THEN 15 ELSE 0 END AS br, CASE WHEN part = 0 THEN 0 ELSE 9 END AS up FROM g WHERE b > a), i AS (SELECT *, round_even(br / 2.0, 0)::BIGINT AS sl, round_even(up / 2.0, 0)::BIGINT AS fa FROM h), j AS (SELECT *, greatest(dd - sl - fa, 0) AS ev FROM i), q AS (SELECT *, dd::DOUBLE / (sl + fa + ev) AS rate, up + ev + br AS n FROM j),
+y AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY ep ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t0, unnest(range(1, n + 1)) AS k FROM q),
+c AS (SELECT DISTINCT ep, 0 AS t, 0.0::DOUBLE AS c, false AS held FROM o UNION ALL SELECT ep, t0 + k, a + CASE WHEN k = n THEN dd WHEN k <= up THEN rate * {FASTER.format(n='up', d='fa', u='(k::DOUBLE / up)')} WHEN k <= up + ev THEN rate * (fa + k - up)
+ELSE rate * (fa + ev + {SLOWER.format(n='br', d='sl', u='((k - up - ev)::DOUBLE / br)')}) END, br > 0 AND k = n FROM y)
+SELECT c.ep, c.t, round(c, 6) AS c, round(u.l + (c - floor(c)) * (v.l - u.l), 6) AS "left", round(u.r + (c - floor(c)) * (v.r - u.r), 6) AS "right", held FROM c JOIN o u ON u.ep = c.ep AND u.t = floor(c) JOIN o v ON v.ep = c.ep AND v.t = ceil(c)""")
+def smoothed_waits(spark, d):
+    """The left side waits every other stretch of 6 to 10 frames."""
+    t, p = F.col("f"), F.col("ep") % 5 + 6
+    left = F.floor(t / (2 * p)) * p + F.least(t % (2 * p), p)
+    clock = user_frames(spark, d).select("ep", t.alias("t"), left.cast("double").alias("left"), t.cast("double").alias("right"))
+    return clocks.smoothed_waits(clock, 30.0).withColumns({c: F.round(c, 6) for c in ("c", "left", "right")})
+
+
 STAGES = f"{S}, p AS (SELECT ep, 10 AS start, 10 + count(*) // 3 AS peak, 5 + ep % 30 AS opening, ep % 11 / 10.0::DOUBLE AS position FROM s GROUP BY ep)"
 
 

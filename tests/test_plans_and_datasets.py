@@ -91,6 +91,34 @@ def test_approach_clock_rests_at_its_stops(spark):
     assert [r.c for r in rows if r.ep == 1] == list(range(10, 41)) and [r.c for r in rows if r.ep == 2] == [3]
 
 
+def test_waits_are_eased_on_one_path(spark):
+    left = [*range(21), *[20] * 12, *range(21, 45), *[44] * 12]
+    clock = spark.createDataFrame([(0, t, float(x), float(t)) for t, x in enumerate(left)] + [(1, t, float(t), float(t)) for t in range(50)], "ep long, t long, left double, right double")
+    rows = clocks.smoothed_waits(clock, 30.0).orderBy("ep", "t").collect()
+    own = [r for r in rows if r.ep == 0]
+    lefts, rights = np.array([r.left for r in own]), np.array([r.right for r in own])
+    assert (np.diff(lefts) >= 0).all() and (np.diff(rights) >= 0).all() and (lefts[0], rights[0], lefts[-1], rights[-1]) == (0, 0, 44, len(left) - 1)
+    assert np.allclose(lefts, np.interp(rights, np.arange(len(left)), left)) and (lefts[(rights >= 20) & (rights <= 32)] == 20).all()
+    stops = [k for k, r in enumerate(own) if r.held]
+    assert len(stops) == 3 and all(rights[k] - rights[k - 1] < 0.01 and rights[k + 1] - rights[k] < 0.015 for k in stops)
+    assert [(r.left, r.right) for r in rows if r.ep == 1] == [(t, t) for t in range(50)]
+    near = clocks.smoothed_waits(spark.createDataFrame([(0, t, float(a), float(b)) for t, (a, b) in enumerate(zip([0, 1, 1, 2, 2, 3], [0, 0, 1, 1, 2, 2]))], "ep long, t long, left double, right double"), 30.0).orderBy("t").collect()
+    assert max(np.diff([r.left for r in near]).max(), np.diff([r.right for r in near]).max()) <= 1 and np.diff([r.t for r in near if r.held]).min() >= 24
+
+
+def test_stage_cache_and_profiles(spark, tmp_path):
+    from cadenza.plans import profiles
+
+    made = []
+    make = lambda n: lambda: (made.append(n), spark.range(n))[1]
+    assert [sources.cached(spark, str(tmp_path), make(n), code="v1", n=k).count() for n, k in ((3, 1), (9, 1), (4, 2))] == [3, 3, 4] and made == [3, 4]
+    assert profiles.profile("drawer", priority="right").priority == "right"
+    with pytest.raises(KeyError):
+        profiles.profile("none")
+    with pytest.raises(TypeError):
+        profiles.profile("drawer", wrong=1)
+
+
 def test_stage_delays_and_profiles(spark):
     got = spark.createDataFrame([(157, 211, 0.0), (157, 211, 1.0)], "a long, b long, u double").select(*clocks.stage_delays(F.col("a"), F.col("b"), F.col("u"))).collect()
     assert [tuple(r) for r in got] == [(0, 157), (211, 0)]
