@@ -59,7 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        common.drop_all_but_last(spark)
+    with common.written() as made:
+        for name, stage in STAGES:
+            docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            common.drop(spark, made[:-1])
+            del made[:-1]
     return docs
