@@ -6,6 +6,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
-_WRITTEN: list[str] = []
 _ENDING: set[str] = set()
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 #: Rows and bytes of text that a Python kernel holds as Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
@@ -64,16 +66,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_all_but_last(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote, but for its last table: for callers who go on from that alone."""
-    for path in _WRITTEN[:-1]:
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths that ``materialize`` writes inside, in this thread: no other query's."""
+    token = _WRITTEN.set([])
+    try:
+        yield _WRITTEN.get()
+    finally:
+        _WRITTEN.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         files, where = _files(spark, path)
         files.delete(where, True)
-    del _WRITTEN[:-1]
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
