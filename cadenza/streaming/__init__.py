@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def _instant(events: DataFrame, ts: str) -> Column:
@@ -32,6 +36,30 @@ def tumbling(events: DataFrame, ts: str, width: str, *keys: str, value: str = "v
     return out.select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
+def closed_runs(events: DataFrame, key: str, order: str, flag: str) -> DataFrame:
+    """Runs of a true ``flag`` of each key of a stream (key: long, order: long, flag: boolean): key, start, end, n, given when a false one ends them.
+
+    State is one open run a key, whatever the stream's length. Within a micro-batch rows are ordered by ``order``; between batches they are taken to come in order. A null flag
+    is false. The last run of a key stays open.
+    """
+
+    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        start, end, n = state.get if state.exists else (None, None, 0)
+        out = []
+        for at, on in zip(rows[order].tolist(), rows[flag].fillna(False).astype(bool).tolist()):
+            if on:
+                start, end, n = (at if n == 0 else start), at, n + 1
+            elif n:
+                out.append((keys[0], start, end, n))
+                start, end, n = None, None, 0
+        state.update((start, end, n))
+        yield pd.DataFrame(out, columns=[key, "start", "end", "n"])
+
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.col(flag).alias(flag))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, start long, end long, n long", "start long, end long, n long", "append", "NoTimeout")
+
+
 def pending(episodes: DataFrame, receipts: DataFrame, key: str = "ep", digest: str = "sha256") -> DataFrame:
     """Episodes without a receipt of the same content: what an interrupted run still has to do."""
     return episodes.join(receipts.select(key, digest), [key, digest], "left_anti")

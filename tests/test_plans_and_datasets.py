@@ -278,6 +278,27 @@ def test_times_without_a_zone_are_utc(spark):
     assert found[0] == found[1] == found[2] and [n for _, n in found[0][0]] == [2, 1] and found[0][0][0][0] % 86400 == 0
 
 
+def test_runs_go_on_over_micro_batches(spark, tmp_path):
+    from cadenza import streaming
+
+    rng = random.Random(6)
+    flags = {k: [rng.choice([True, True, False, None]) for _ in range(60)] for k in range(4)}
+    for part in range(3):
+        rows = [(k, f, x[f]) for k, x in flags.items() for f in range(part * 20, part * 20 + 20)]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, "ep long, f long, flag boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ep long, f long, flag boolean").parquet(str(tmp_path / "in"))
+        made = streaming.closed_runs(stream, "ep", "f", "flag").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        made.trigger(availableNow=True).start().awaitTermination()
+    want = set()
+    for k, x in flags.items():
+        for on, run in itertools.groupby(enumerate(x), key=lambda p: bool(p[1])):
+            run = [f for f, _ in run]
+            if on and run[-1] < 59:
+                want.add((k, run[0], run[-1], len(run)))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("ep", "start", "end", "n").collect()} == want
+
+
 # ---- datasets
 
 
