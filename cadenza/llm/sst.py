@@ -211,9 +211,11 @@ class Reader:
 
 
 def _files(uri: str):
-    """(file system, path in it) of a path with its scheme, as ``qualified`` gives it."""
+    """(file system, path in it) of a path with its scheme, as ``qualified`` gives it; a plain path is a local one, for readers on one machine."""
     from pyarrow import fs
 
+    if uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
     scheme, _, rest = uri.partition(":")
     if scheme == "file":
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
