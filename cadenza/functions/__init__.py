@@ -20,7 +20,8 @@ def half_even(x: Column) -> Column:
 
 
 def clip(x: Column, low, high) -> Column:
-    return F.greatest(F.least(x, F.lit(high) if not isinstance(high, Column) else high), F.lit(low) if not isinstance(low, Column) else low)
+    """``x`` within [low, high]; null stays null, which ``least`` and ``greatest`` would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high) if not isinstance(high, Column) else high), F.lit(low) if not isinstance(low, Column) else low))
 
 
 def even_sample(n: Column, k: int) -> Column:

@@ -40,6 +40,11 @@ def test_closing_without_motion_is_no_grasp(spark):
     assert not got.accepted and "no_stable_correlated_pickup" in got.why
 
 
+def test_without_a_moving_frame_there_is_no_onset(spark):
+    got = hypothesis(spark, np.zeros(100), np.zeros(100), np.r_[np.full(30, 20), np.full(70, 2)])
+    assert got.motion_onset == 0 and got.motion_correlation == 0 and "low_posterior_score" in got.why
+
+
 @pytest.mark.parametrize("jaw", [np.r_[np.full(30, 20), np.full(35, 2), np.full(35, 20)], np.r_[np.full(30, 20), np.full(30, 2), np.linspace(2, 20, 20), np.full(20, 20)], np.full(100, 49.4)])
 def test_motion_and_release_make_a_grasp(spark, jaw):
     x, g = carried()
